@@ -91,6 +91,8 @@ class _Chunk:
 
     def word_rows(self) -> Iterator[tuple]:
         order, bucket, _ = self.order()
+        if not len(order):
+            return
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         words = self.words
         for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
@@ -200,9 +202,9 @@ def _decoded(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatc
         lists = lists.fill_null([]) if lists.null_count else lists
         ids = np.asarray(lists.flatten())
         count = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-        size = sizes[ids]
-        if len(ids) and (ids.min() < 0 or (size < 0).any()):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
             raise ValueError("an id is not in the vocabulary")
+        size = sizes[ids]
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
         raw = blob[pretok.ragged(starts[ids], size)]
         out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
