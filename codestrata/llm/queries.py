@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import bpe, media, near_dup, packing, secrets, token_counts, url_filter
+from codestrata.llm import bpe, html_crf, media, near_dup, packing, quality, rules, secrets, token_counts, url_filter
 from codestrata.llm.common import table
 
 #: The entries that pages are judged by.
@@ -33,6 +33,14 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.contract(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(table(spark, sf_dir, "documents"))
 
@@ -41,9 +49,57 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.contract(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_media, op5_near_dup, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_secrets, op4_media, op5_near_dup, op6_quality, op7_html, op8_token_counts, op9_packing, op10_rules)}
+
+
+URL_SQL = """
+WITH rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
+urls AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM urls),
+split AS (
+  SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM parts),
+fits AS (
+  SELECT page_id, r.verdict, rule_host || rule_path AS rule,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC) AS place
+  FROM split JOIN rules r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON f.page_id = s.page_id AND place = 1
+"""
+
+RULES_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS r(i)),
+again AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) AS r(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(c.n, 0) AS n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS exclaims
+  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
+b AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR upper > 2 * lower OR 2 * exclaims > n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > len(lines)) AS kept
+FROM b
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    entries = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return {"op2_url_filter": URL_SQL.format(rules=entries), "op10_rules": RULES_SQL}

@@ -1,15 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality classifier, quality rules, near-duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codestrata.llm import common, near_dup, packing, quality, rules, secrets
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches one half; learnt from the labels that are not held out."""
+    model = quality.learn(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, score_col="__score").where("__score >= 0.5").drop("__score")
+
+
+def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return rules.judge(docs, rule_col="__rule").where("__rule is null").drop("__rule")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id, once.
+
+    Rows without an id name no group: of those with the same text one stays.
+    """
+    kept = near_dup.clusters(docs).where("kept").select(F.col("id").alias("__id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    ledger = secrets.Ledger(common.shared_dir(spark))
+    ledger.update(docs)
+    out = ledger.redact(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+
 
-STAGES: list = []
+STAGES = [("quality classifier", keep_good), ("quality rules", keep_ruled), ("near-duplicates", keep_one), ("secret scans", redact_secrets), ("packing", pack)]
+#: A trained classifier and a tokenizer decide: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on the documents table, each but the last one's rows written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.written(docs)
     return docs
