@@ -76,7 +76,7 @@ def histories(changes: DataFrame, config: Config, nodes: DataFrame | None = None
     sized = changes.select("commit", "file").distinct()
     size = F.count("*").over(Window.partitionBy("commit"))
     kept = sized.withColumn("n", size).where((F.col("n") >= 2) & (F.col("n") <= config.churn["maxFilesPerCommit"])).select("commit", "file")
-    return kept if nodes is None else kept.join(nodes.select("file").distinct(), "file", "left_semi")
+    return kept if nodes is None else kept.join(nodes.select("file").distinct(), "file", "left_semi").select("commit", "file")
 
 
 def in_scope(changes: DataFrame, config: Config) -> DataFrame:
