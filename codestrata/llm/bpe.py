@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from codestrata.llm import common, pretok, vocab
 
 WORDS = "chunk long, bucket int, payload binary"
+#: Ids decoded at once; bounds the arrays of a task.
+DECODED_AT_ONCE = 300_000
 PLACES = "chunk long, part int, payload binary, counts binary, ids binary, guard binary"
 
 
@@ -115,6 +117,7 @@ def _ipc(array: pa.Array) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+@common.tidy
 def _chunked(batches: Iterator[pa.RecordBatch], with_words: bool, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]) if with_words else pa.schema([("chunk", pa.int64()), ("part", pa.int32()), *((n, pa.binary()) for n in ("payload", "counts", "ids", "guard"))])
     number = TaskContext.get().partitionId() << 24
@@ -133,6 +136,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], with_words: bool, buckets: int,
     yield from rows(chunk)
 
 
+@common.tidy
 def _encoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
     """Ids of each block's words. Blocks come by bucket, so a bucket's words are kept only while it lasts."""
     encode, bucket, known = vocab.word_encoder(ranks.value), None, {}
@@ -173,7 +177,7 @@ def _joined(replies: pa.Table, places: pa.Table, id_type: pa.DataType) -> pa.Tab
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, chunk_chars: int = 64_000_000, buckets: int | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, chunk_chars: int = 16_000_000, buckets: int | None = None) -> DataFrame:
     """(id, ids array<int>) for every row, in no special order.
 
     Each match of the pattern is encoded separately by the ranks of the .tiktoken file, without special tokens. Null
@@ -194,21 +198,22 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
     return ids.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: joined(a, b), f"id {id_field.simpleString()}, ids array<int>")
 
 
+@common.tidy
 def _decoded(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     blob, sizes = table.value
     starts = np.cumsum(sizes) - sizes
     for batch in batches:
-        lists = batch.column("ids")
-        lists = lists.fill_null([]) if lists.null_count else lists
-        ids = np.asarray(lists.flatten())
-        count = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
-            raise ValueError("an id is not in the vocabulary")
-        size = sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
-        raw = blob[pretok.ragged(starts[ids], size)]
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-        yield pa.record_batch([batch.column("id"), batch.column("ids"), out], names=["id", "ids", "decoded"])
+        counts = np.asarray(batch.column("ids").value_lengths().fill_null(0), np.int64)
+        for begin, end in pretok.batches(counts.tolist(), DECODED_AT_ONCE):
+            rows = batch.slice(begin, end - begin)
+            ids = np.asarray(rows.column("ids").flatten())  # null lists have none
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+                raise ValueError("an id is not in the vocabulary")
+            size = sizes[ids]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts[begin:end])])]
+            raw = blob[pretok.ragged(starts[ids], size)]
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - begin, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.record_batch([rows.column("id"), rows.column("ids"), out], names=["id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters handled at once; bounds the arrays of a task.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 _CUT = re.compile("[^{0}](?=[{0}])".format("".join(map(chr, WHITE))))
 
 
