@@ -147,3 +147,9 @@ def unused_dependencies(declared: DataFrame, refs: DataFrame) -> DataFrame:
     """Declared (dir, package) that no file below the folder imports."""
     used = refs.where(specifiers.kind_of(F.col("specifier")) == "bare").select(F.explode(globs.ancestors_with_root(F.col("file"))).alias("dir"), specifiers.package_of(F.col("specifier")).alias("package")).distinct()
     return declared.select("dir", "package").distinct().join(used, ["dir", "package"], "left_anti")
+
+
+def without_native(found: DataFrame, judged_files: DataFrame) -> DataFrame:
+    """A report's unlisted packages, except on files that the native rule has judged with a trustworthy manifest."""
+    unlisted = F.col("rule") == "unlisted-dependency"
+    return found.where(~unlisted).unionByName(found.where(unlisted).join(judged_files.select("file").distinct(), "file", "left_anti").select(*found.columns))
