@@ -143,6 +143,7 @@ def default_model() -> Model:
     return train(html_pages.labelled(PAGES, seed=11))
 
 
+@common.tidy
 def _extracted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "html", 2_000_000):

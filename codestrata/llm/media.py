@@ -18,7 +18,7 @@ UNIT = 192
 #: MCUs that a file may have across or down.
 MOST = 65535 // 8
 #: Bytes handled at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def padded(text: str) -> bytes:
@@ -79,6 +79,7 @@ def feature(image: jpeg.Image, coefficients: np.ndarray) -> str:
     return f"{image.width}x{image.height}:{jpeg.average_hash(jpeg.thumbnail(image, coefficients))}"
 
 
+@common.tidy
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", BATCH_BYTES):
@@ -96,6 +97,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return rows.mapInArrow(_stored, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+@common.tidy
 def _described(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "media", BATCH_BYTES):

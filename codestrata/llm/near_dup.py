@@ -87,6 +87,7 @@ def may_link(one: np.ndarray, many: np.ndarray, p: Params) -> np.ndarray:
     return equal - by_chance >= (p.percent / 100 - margin) * n
 
 
+@common.tidy
 def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):
@@ -99,6 +100,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
             yield pa.record_batch([part.column("id"), part.column("text_hash"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "text_hash", "n_shingles", "key", "registers"])
 
 
+@common.tidy
 def _banded(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
@@ -133,6 +135,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.
 GROUP = ["leader", "i", "j"]
 
 
+@common.tidy
 def _estimated(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """The members of each group that some other one may be linked with."""
     for group in _runs(batches, GROUP):
@@ -195,6 +198,7 @@ def linked(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
+@common.tidy
 def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Links of each group's members with the first of their component."""
     for group in _runs(batches, GROUP):
@@ -282,6 +286,7 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
     return out.select("id", "n_shingles", component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
 
 
+@common.tidy
 def _of_class(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):

@@ -114,6 +114,7 @@ class Packer:
         yield from self._pack(0)
 
 
+@common.tidy
 def _packed(batches: Iterator[pa.RecordBatch], ranks, limits: Limits, end_id: int, special: str | None, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     store = vocab.shared_store(ranks)
     packer = Packer(limits, may_cut=True, sequence=TaskContext.get().partitionId() << 40)
@@ -182,6 +183,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+@common.tidy
 def _examples(batches: Iterator[pa.RecordBatch], limits: Limits, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     packer = Packer(limits, may_cut=False, sequence=TaskContext.get().partitionId() << 40)
     schema = pa.schema([("id", id_type), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

@@ -102,6 +102,7 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@common.tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):
@@ -120,6 +121,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit(x if found else features([""]), np.array([r.good for r in found], bool) if found else np.ones(1, bool))
 
 
+@common.tidy
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):

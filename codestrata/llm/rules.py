@@ -68,6 +68,7 @@ BASE = (Rule("few_words", _few_words), Rule("repeats", _repeats))
 RULES = (Rule("symbols", _symbols), Rule("shouting", _shouting), Rule("exclaims", _exclaims), Rule("word_size", _word_size), Rule("dup_lines", _dup_lines))
 
 
+@common.tidy
 def _measured(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):
@@ -107,6 +108,7 @@ def cascade(texts: list[str], rules: tuple[Rule, ...], stats: Stats | None = Non
     return by
 
 
+@common.tidy
 def _judged(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     names = pa.array([r.name for r in rules], pa.string())
     for batch in batches:
@@ -134,6 +136,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, id_col: str = "
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+@common.tidy
 def _metrics(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):

@@ -47,6 +47,7 @@ def spliced(text: str, encode: Callable[[str], Encoded], chunk_chars: int, overl
     return total + int(counts[starts + begin >= done].sum())
 
 
+@common.tidy
 def _counted(batches: Iterator[pa.RecordBatch], ranks, chunk_chars: int, overlap: int, special: str | None) -> Iterator[pa.RecordBatch]:
     store = vocab.shared_store(ranks)
 

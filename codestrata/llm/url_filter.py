@@ -80,6 +80,7 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.when(has, host).otherwise(""), F.when(has, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+@common.tidy
 def _judged(batches: Iterator[pa.RecordBatch], trie, default: str) -> Iterator[pa.RecordBatch]:
     match = functools.lru_cache(1 << 16)(trie.value.match)
     for batch in batches:

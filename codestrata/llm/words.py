@@ -12,7 +12,7 @@ GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 
 
 class Words:
