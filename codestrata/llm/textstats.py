@@ -69,8 +69,10 @@ class Stats:
         breaks = np.flatnonzero(raw == 10)
         starts = np.unique(np.concatenate([bounds[:-1][full], breaks + 1]))
         starts = starts[starts < len(raw)]
+        if not len(starts):
+            return starts, starts, starts
         ends = np.append(starts[1:], len(raw))
-        ends = ends - (raw[ends - 1] == 10) if len(ends) else ends
+        ends = ends - (raw[ends - 1] == 10)
         of = np.searchsorted(bounds, starts, "right") - 1
         has = np.searchsorted(self.words.starts, ends) > np.searchsorted(self.words.starts, starts)
         return starts[has], ends[has], of[has]
