@@ -29,6 +29,8 @@ from codestrata.llm import common, pretok, vocab
 WORDS = "chunk long, bucket int, payload binary"
 #: Ids decoded at once; bounds the arrays of a task.
 DECODED_AT_ONCE = 300_000
+#: The bucket that stands for a chunk's checksum.
+GUARD = -1
 PLACES = "chunk long, part int, payload binary, counts binary, ids binary, guard binary"
 
 
@@ -92,9 +94,10 @@ class _Chunk:
         return order, bucket[order], hashlib.sha256(hashes[order].tobytes()).digest()
 
     def word_rows(self) -> Iterator[tuple]:
-        order, bucket, _ = self.order()
+        order, bucket, guard = self.order()
         if not len(order):
             return
+        yield self.number, GUARD, guard
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         words = self.words
         for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
@@ -142,6 +145,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatc
     encode, bucket, known = vocab.word_encoder(ranks.value), None, {}
     for batch in batches:
         for chunk, own, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own == GUARD:
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([payload], pa.binary())], names=["chunk", "bucket", "payload"])
+                continue
             if own != bucket:
                 bucket, known = own, {}
             ids = []
@@ -157,18 +163,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatc
 def _joined(replies: pa.Table, places: pa.Table, id_type: pa.DataType) -> pa.Table:
     """The documents of a chunk: ids of its words by position."""
     schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
-    sizes, flats = [], []
-    for row in sorted(zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist(), strict=True)):
-        values = unpack(row[1])
+    sizes, flats, guards = [], [], set(places["guard"].to_pylist())
+    for bucket, payload in sorted(zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist(), strict=True)):
+        if bucket == GUARD:
+            guards.add(payload)
+            continue
+        values = unpack(payload)
         sizes.append(values[1 : 1 + values[0]])
         flats.append(values[1 + values[0] :])
     size, pool = (np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (sizes, flats))
     start = np.cumsum(size) - size
+    if len(guards) > 1 or len(size) and not len(places):
+        raise RuntimeError("the input gave other rows when it was read again; write it before encoding")
     out = []
     for _, payload, counts, ids in sorted(zip(*(places[c].to_pylist() for c in ("part", "payload", "counts", "ids")), strict=True)):
         at, count = unpack(payload).astype(np.int64), unpack(counts).astype(np.int64)
-        if len(at) and at.max() >= len(size):
-            raise RuntimeError("the input gave other rows when it was read again; checkpoint it before encoding")
         tokens = size[at]
         ends = np.concatenate([[0], np.cumsum(tokens)])[np.concatenate([[0], np.cumsum(count)])]
         flat = pool[pretok.ragged(start[at], tokens)].astype(np.int32)

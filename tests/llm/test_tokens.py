@@ -159,3 +159,14 @@ def test_vector_limits_hold_and_examples_stay_whole(spark):
 def test_an_example_that_fits_nowhere_is_an_error(spark):
     with pytest.raises(Exception, match="fits no sequence"):
         packing.pack_examples(spark.createDataFrame([(1, 5000, 1)], "id long, t long, l long"), "id", "t", "l").collect()
+
+
+def _changing(frames):
+    for frame in frames:
+        yield frame.assign(text=[f"{t} w{random.SystemRandom().random()}" for t in frame.text])
+
+
+def test_rows_that_change_between_readings_are_an_error(spark):
+    rows = spark.createDataFrame([(k, "a b") for k in range(50)], "doc_id long, text string")
+    with pytest.raises(Exception, match="write it before encoding"):
+        bpe.encode(rows.mapInPandas(_changing, rows.schema)).collect()
