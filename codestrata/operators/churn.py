@@ -73,9 +73,10 @@ def top_hotspots(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def histories(changes: DataFrame, config: Config, nodes: DataFrame | None = None) -> DataFrame:
     """(commit, file) of commits of 2 to the most files in scope; only then files that no longer exist are left out."""
-    sized = changes.select("commit", "file").distinct()
-    size = F.count("*").over(Window.partitionBy("commit"))
-    kept = sized.withColumn("n", size).where((F.col("n") >= 2) & (F.col("n") <= config.churn["maxFilesPerCommit"])).select("commit", "file")
+    rows = changes.select("commit", "file").distinct()
+    # Sizes are counted before the shuffle's end, so a commit of any size is no task's burden; then it is left out.
+    fitting = rows.groupBy("commit").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= config.churn["maxFilesPerCommit"]))
+    kept = rows.join(fitting, "commit", "left_semi").select("commit", "file")
     return kept if nodes is None else kept.join(nodes.select("file").distinct(), "file", "left_semi").select("commit", "file")
 
 

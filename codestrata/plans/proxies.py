@@ -79,23 +79,23 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _round(df: DataFrame, *columns: str) -> DataFrame:
-    """Sums of doubles depend on the order: six decimals are compared."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def _round(df: DataFrame, *columns: str, decimals: int = 6) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits: shares are compared to six decimals, masses to two."""
+    return df.withColumns({c: F.round(c, decimals) for c in columns})
 
 
 # Measures
 
 
-@_query("metrics_summary", _with("functions files", "SELECT f.*, fn.*, round(coalesce(em / nullif(tm, 0), 0), 6) AS erosion_fraction, round(tm, 6) AS total_mass, round(em, 6) AS eroded_mass FROM (SELECT count(*) AS file_count, sum(sloc) AS total_sloc, avg(function_count) AS functions_per_file FROM files) f, (SELECT count(*) AS function_count, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, count(*) FILTER (WHERE cyclomatic > 10) AS over_cyclomatic, median(sloc) AS median_function_sloc, median(cyclomatic) AS median_cyclomatic FROM functions) fn, (SELECT sum(cyclomatic * sqrt(sloc)) AS tm, sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10) AS em FROM functions) m").replace("SELECT f.*, fn.*, round", "SELECT file_count, total_sloc, functions_per_file, function_count, max_cyclomatic, max_cognitive, over_cyclomatic, median_function_sloc, median_cyclomatic, round"))
+@_query("metrics_summary", _with("functions files", "SELECT f.*, fn.*, round(coalesce(em / nullif(tm, 0), 0), 6) AS erosion_fraction, round(tm, 2) AS total_mass, round(em, 2) AS eroded_mass FROM (SELECT count(*) AS file_count, sum(sloc) AS total_sloc, avg(function_count) AS functions_per_file FROM files) f, (SELECT count(*) AS function_count, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, count(*) FILTER (WHERE cyclomatic > 10) AS over_cyclomatic, median(sloc) AS median_function_sloc, median(cyclomatic) AS median_cyclomatic FROM functions) fn, (SELECT sum(cyclomatic * sqrt(sloc)) AS tm, sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10) AS em FROM functions) m").replace("SELECT f.*, fn.*, round", "SELECT file_count, total_sloc, functions_per_file, function_count, max_cyclomatic, max_cognitive, over_cyclomatic, median_function_sloc, median_cyclomatic, round"))
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions, files = _frames(spark, sf_dir, "functions", "files")
-    return _round(metrics.summarize(files, functions, CONFIG), "total_mass", "eroded_mass", "erosion_fraction")
+    return _round(_round(metrics.summarize(files, functions, CONFIG), "erosion_fraction"), "total_mass", "eroded_mass", decimals=2)
 
 
-@_query("erosion_by_file", _with("functions", "SELECT file, round(sum(cyclomatic * sqrt(sloc)), 6) AS total_mass, round(coalesce(sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10), 0), 6) AS eroded_mass, round(coalesce(sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10), 0) / sum(cyclomatic * sqrt(sloc)), 6) AS fraction FROM functions GROUP BY file"))
+@_query("erosion_by_file", _with("functions", "SELECT file, round(sum(cyclomatic * sqrt(sloc)), 2) AS total_mass, round(coalesce(sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10), 0), 2) AS eroded_mass, round(coalesce(sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10), 0) / sum(cyclomatic * sqrt(sloc)), 6) AS fraction FROM functions GROUP BY file"))
 def erosion_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(metrics.erosion(_frames(spark, sf_dir, "functions")[0], 10, ["file"]), "total_mass", "eroded_mass", "fraction")
+    return _round(metrics.erosion(_frames(spark, sf_dir, "functions")[0], 10, ["file"]), "fraction").withColumns({c: F.round(c, 2) for c in ("total_mass", "eroded_mass")})
 
 
 @_query("median_by_file", _with("functions", "SELECT file, median(sloc) AS median_sloc, median(cyclomatic) AS median_cyclomatic FROM functions GROUP BY file"))
@@ -187,7 +187,7 @@ def current_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.current_paths(_frames(spark, sf_dir, "log")[0]).select("commit_pos", "path", "file")
 
 
-@_query("git_log", "SELECT CAST(row_number() OVER (ORDER BY o.o_orderkey) - 1 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o WHERE o.o_orderkey % 3 = 0")
+@_query("git_log", "SELECT o.o_orderkey AS log_id, CAST(0 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o WHERE o.o_orderkey % 3 = 0")
 def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0")
     key, who = F.col("o_orderkey"), F.col("o_custkey")
@@ -197,14 +197,7 @@ def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A log of its own for each commit: one text of all would be a single row.
     logs = orders.select(key.alias("log_id"), record.alias("raw"))
     parsed = gitlog.changes(gitlog.parse_log(logs, by="log_id"))
-    place = orders.select(key.alias("log_id")).withColumn("place", F.row_number().over(_by_key("log_id")) - 1)
-    return parsed.join(place, "log_id").select(F.col("place").cast("long").alias("commit_pos"), "hash", "date", "path", "previous_path", "added_lines", "deleted_lines", "binary")
-
-
-def _by_key(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+    return parsed.select("log_id", "commit_pos", "hash", "date", "path", "previous_path", "added_lines", "deleted_lines", "binary")
 
 
 @_query("window_start", "SELECT event_id, strftime(ts - INTERVAL 365 DAY, '%Y-%m-%d') AS start FROM events")
@@ -367,9 +360,7 @@ def undeclared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def imports_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, files = _frames(spark, sf_dir, "refs", "ref_files")
     resolved = imports.resolve(refs, files, _mappings(spark))
-    nothing = spark.createDataFrame([], "file string")
     found = resolved.where("target is null").where(specifiers.kind_of(F.col("specifier")) == "relative")
-    del nothing
     return imports.summarize(refs, resolved, imports.unresolved_findings(found), files)
 
 
@@ -474,9 +465,6 @@ def export_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Ratchet
 
-_DEBT_SQL = "b.kind, b.tool, b.rule, b.file"
-
-
 @_query("debt_comparison", _with("debt_before debt_after", "SELECT kind, tool, rule, file, a.value AS before, b.value AS after, CASE WHEN a.value IS NULL THEN CASE WHEN file IN (SELECT file FROM debt_before) THEN 'new-entry' ELSE 'new-file' END WHEN b.value IS NULL THEN CASE WHEN tool IN ('metrics', 'churn') THEN 'improvement' ELSE 'skipped' END WHEN b.value > a.value THEN 'increase' WHEN b.value < a.value THEN 'improvement' ELSE 'unchanged' END AS verdict FROM debt_before a FULL JOIN debt_after b USING (kind, tool, rule, file)"))
 def debt_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _frames(spark, sf_dir, "debt_before", "debt_after")
