@@ -87,7 +87,7 @@ def _round(df: DataFrame, *columns: str, decimals: int = 6) -> DataFrame:
 # Measures
 
 
-@_query("metrics_summary", _with("functions files", "SELECT f.*, fn.*, round(coalesce(em / nullif(tm, 0), 0), 6) AS erosion_fraction, round(tm, 2) AS total_mass, round(em, 2) AS eroded_mass FROM (SELECT count(*) AS file_count, sum(sloc) AS total_sloc, avg(function_count) AS functions_per_file FROM files) f, (SELECT count(*) AS function_count, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, count(*) FILTER (WHERE cyclomatic > 10) AS over_cyclomatic, median(sloc) AS median_function_sloc, median(cyclomatic) AS median_cyclomatic FROM functions) fn, (SELECT sum(cyclomatic * sqrt(sloc)) AS tm, sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10) AS em FROM functions) m").replace("SELECT f.*, fn.*, round", "SELECT file_count, total_sloc, functions_per_file, function_count, max_cyclomatic, max_cognitive, over_cyclomatic, median_function_sloc, median_cyclomatic, round"))
+@_query("metrics_summary", _with("functions files", "SELECT f.*, fn.*, round(coalesce(em / nullif(tm, 0), 0), 6) AS erosion_fraction, round(tm, 2) AS total_mass, round(em, 2) AS eroded_mass FROM (SELECT count(*) AS file_count, CAST(sum(sloc) AS bigint) AS total_sloc, avg(function_count) AS functions_per_file FROM files) f, (SELECT count(*) AS function_count, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, count(*) FILTER (WHERE cyclomatic > 10) AS over_cyclomatic, median(sloc) AS median_function_sloc, median(cyclomatic) AS median_cyclomatic FROM functions) fn, (SELECT sum(cyclomatic * sqrt(sloc)) AS tm, sum(cyclomatic * sqrt(sloc)) FILTER (WHERE cyclomatic > 10) AS em FROM functions) m").replace("SELECT f.*, fn.*, round", "SELECT file_count, total_sloc, functions_per_file, function_count, max_cyclomatic, max_cognitive, over_cyclomatic, median_function_sloc, median_cyclomatic, round"))
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions, files = _frames(spark, sf_dir, "functions", "files")
     return _round(_round(metrics.summarize(files, functions, CONFIG), "erosion_fraction"), "total_mass", "eroded_mass", decimals=2)
@@ -145,12 +145,12 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.top_hotspots(churn.hotspots(churn.churn(changes), parts, parts)).select("file", "commits", "score")
 
 
-@_query("churn", _with("changes", "SELECT file, count(*) AS commits, sum(added_lines) AS added_lines, sum(deleted_lines) AS deleted_lines, min(date) AS first_change, max(date) AS last_change FROM changes GROUP BY file"))
+@_query("churn", _with("changes", "SELECT file, count(*) AS commits, CAST(sum(added_lines) AS bigint) AS added_lines, CAST(sum(deleted_lines) AS bigint) AS deleted_lines, min(date) AS first_change, max(date) AS last_change FROM changes GROUP BY file"))
 def churn_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.churn(_frames(spark, sf_dir, "changes")[0])
 
 
-@_query("churn_in_scope", _with("changes", "SELECT count(DISTINCT file) AS files, sum(added_lines) AS added_lines, sum(deleted_lines) AS deleted_lines, 7 AS commits_scanned FROM changes WHERE regexp_matches(file, '^(.*/)?[^/]*\\.ts$') AND NOT regexp_matches(file, '\\.test\\.ts$')"))
+@_query("churn_in_scope", _with("changes", "SELECT count(DISTINCT file) AS files, CAST(sum(added_lines) AS bigint) AS added_lines, CAST(sum(deleted_lines) AS bigint) AS deleted_lines, CAST(7 AS bigint) AS commits_scanned FROM changes WHERE regexp_matches(file, '^(.*/)?[^/]*\\.ts$') AND NOT regexp_matches(file, '\\.test\\.ts$')"))
 def churn_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.summarize_churn(7, churn.churn(churn.in_scope(_frames(spark, sf_dir, "changes")[0], CONFIG)))
 
@@ -187,7 +187,7 @@ def current_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.current_paths(_frames(spark, sf_dir, "log")[0]).select("commit_pos", "path", "file")
 
 
-@_query("git_log", "SELECT o.o_orderkey AS log_id, CAST(0 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o WHERE o.o_orderkey % 3 = 0")
+@_query("git_log", "SELECT o.o_orderkey AS log_id, CAST(0 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CAST(CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS bigint) AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o WHERE o.o_orderkey % 3 = 0")
 def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0")
     key, who = F.col("o_orderkey"), F.col("o_custkey")
@@ -208,7 +208,7 @@ def window_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lines
 
 
-@_query("file_sloc", _with("sources", "SELECT file, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\s\\x{00a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]'))) AS sloc FROM sources"))
+@_query("file_sloc", _with("sources", "SELECT file, CAST(len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\s\\x{00a0}\\x{feff}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]'))) AS int) AS sloc FROM sources"))
 def file_sloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.file_sloc(_frames(spark, sf_dir, "sources")[0])
 
@@ -273,7 +273,7 @@ def clone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.covered_lines(spark.sql(_CLONES)).withColumn("line", F.col("line").cast("long"))
 
 
-@_query("clone_findings", "SELECT substr(sha1(concat('jscpd|duplicate-block|', f, '|', s, ':', b)), 1, 12) AS id, f AS file, a AS line, 6.0 AS value, 'minor' AS severity FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN concat('doc', doc_id + 1) ELSE concat('doc', doc_id) END AS f, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 + 1 ELSE doc_id % 9 + 1 END AS a, CASE WHEN doc_id % 3 = 0 THEN concat('doc', doc_id) ELSE concat('doc', doc_id + 1) END AS s, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 + 1 ELSE doc_id % 5 + 1 END AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents))")
+@_query("clone_findings", "SELECT substr(sha1(concat('jscpd|duplicate-block|', f, '|', s, ':', b)), 1, 12) AS id, f AS file, a AS line, CAST(6 AS double) AS value, 'minor' AS severity FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN concat('doc', doc_id + 1) ELSE concat('doc', doc_id) END AS f, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 + 1 ELSE doc_id % 9 + 1 END AS a, CASE WHEN doc_id % 3 = 0 THEN concat('doc', doc_id) ELSE concat('doc', doc_id + 1) END AS s, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 + 1 ELSE doc_id % 5 + 1 END AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents))")
 def clone_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.createOrReplaceTempView("documents")
@@ -356,7 +356,7 @@ def undeclared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.undeclared_findings(found).select("id", "rule", "severity", "file", "line", "symbol")
 
 
-@_query("imports_summary", _with("refs ref_files", _RESOLVE_SQL + "SELECT (SELECT count(*) FROM ref_files) AS files, (SELECT count(*) FROM (SELECT DISTINCT file, target FROM res WHERE target IS NOT NULL AND target <> file)) AS edges, (SELECT count(DISTINCT CASE WHEN starts_with(specifier, '@') THEN array_to_string(string_split(specifier, '/')[1:2], '/') ELSE split_part(specifier, '/', 1) END) FROM refs WHERE NOT starts_with(specifier, '.') AND NOT starts_with(specifier, '#') AND specifier <> 'fs/promises') AS external_packages, 0 AS unknown, 0 AS unlisted, count(*) FILTER (WHERE target IS NULL AND starts_with(specifier, '.')) AS unresolved FROM res"))
+@_query("imports_summary", _with("refs ref_files", _RESOLVE_SQL + "SELECT (SELECT count(*) FROM ref_files) AS files, (SELECT count(*) FROM (SELECT DISTINCT file, target FROM res WHERE target IS NOT NULL AND target <> file)) AS edges, (SELECT count(DISTINCT CASE WHEN starts_with(specifier, '@') THEN array_to_string(string_split(specifier, '/')[1:2], '/') ELSE split_part(specifier, '/', 1) END) FROM refs WHERE NOT starts_with(specifier, '.') AND NOT starts_with(specifier, '#') AND specifier <> 'fs/promises') AS external_packages, CAST(0 AS bigint) AS unknown, CAST(0 AS bigint) AS unlisted, count(*) FILTER (WHERE target IS NULL AND starts_with(specifier, '.')) AS unresolved FROM res"))
 def imports_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, files = _frames(spark, sf_dir, "refs", "ref_files")
     resolved = imports.resolve(refs, files, _mappings(spark))
