@@ -8,8 +8,8 @@
 3. In a group, registers give a collision-corrected estimate of each Jaccard similarity. A class stays if its estimate
    with some other one is not below the threshold by more than chance explains (one in 10**9).
 4. The classes that stay are compared on their full sets, read from the texts again. A task emits the links of a
-   spanning forest of its group only. Groups of more than ``block`` classes are cut into blocks, and each pair of blocks
-   is a task's work, so that no task holds a group of any size.
+   spanning forest of its group only. Groups of more than ``block`` classes, or of more shingles than ``block_shingles``,
+   are cut into blocks, and each pair of blocks is a task's work, so that no task holds a group of any size.
 5. Connected components by alternating stars, with the links in the shared folder after each round.
 
 A link is missed if no band agrees: with 40 bands of 5 registers about 1 in 10**7 at a similarity of 0.8, less above.
@@ -43,6 +43,7 @@ class Params:
     rows: int = 5  # registers of a band
     mantissa: int = 10
     block: int = 1024
+    block_shingles: int = 2_000_000
 
     @property
     def registers(self) -> int:
@@ -108,7 +109,7 @@ def _banded(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
             regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(-1, p.registers)
             bands = band_keys(regs, p)
             of, band = np.nonzero(bands)
-            yield pa.record_batch([pa.array(bands[of, band].view(np.int64)), part.column("key").take(pa.array(of))], names=["band", "key"])
+            yield pa.record_batch([pa.array(bands[of, band].view(np.int64)), part.column("key").take(pa.array(of)), part.column("n_shingles").take(pa.array(of))], names=["band", "key", "n_shingles"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -258,11 +259,12 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
     sketches = common.written(rows.mapInArrow(functools.partial(_sketched, p=p), f"id {kind}, text_hash long, n_shingles long, key binary, registers binary"))
     # one: the row whose text stands for the class
     classes = common.written(sketches.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min(F.struct("id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
-    bands = classes.mapInArrow(functools.partial(_banded, p=p), "band long, key binary")
+    bands = classes.select("key", "n_shingles", "registers").mapInArrow(functools.partial(_banded, p=p), "band long, key binary, n_shingles long")
     leaders = bands.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    members = common.written(bands.join(leaders, "band").select("leader", "key").distinct())
+    members = common.written(bands.join(leaders, "band").select("leader", "key", "n_shingles").distinct())
 
-    size = members.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > p.block).select("leader", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n_shingles") / p.block_shingles)).cast("int")
+    size = members.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1")
     dealt = members.join(size, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")

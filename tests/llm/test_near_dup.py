@@ -47,10 +47,10 @@ def copies(seed, groups=6, size=25):
     return rows
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 4)])
-def test_components_are_those_of_all_pairs(spark, seed, block):
+@pytest.mark.parametrize("seed, block, shingles", [(1, 1024, 2_000_000), (2, 4, 2_000_000), (3, 1024, 300)])
+def test_components_are_those_of_all_pairs(spark, seed, block, shingles):
     rows = copies(seed)
-    got = near_dup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), p=near_dup.Params(shingle=4, block=block)).collect()
+    got = near_dup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), p=near_dup.Params(shingle=4, block=block, block_shingles=shingles)).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
