@@ -146,14 +146,15 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks, limits: Limits, end_id: in
                     split += [False] * (len(own) - 1) + [j < len(sections) - 1]
             flat, edge = store.encode_all(pieces)
             ends = edge[1:]
-            flat = np.insert(flat, ends, np.where(last, end_id, vocab.SPECIAL_ID).astype(np.uint32)) if all(a or b for a, b in zip(last, split, strict=True)) else _joined(flat, ends, last, split, end_id)
+            add = np.flatnonzero(np.array(last) | np.array(split))
+            flat = np.insert(flat, ends[add], np.where(np.array(last)[add], end_id, vocab.SPECIAL_ID).astype(np.uint32))
             ends = (ends + np.cumsum(np.array(last, int) + np.array(split, int)))[np.array(last, bool)]
 
             def placed(ids=part.column("id").to_pylist(), flat=flat.astype("<u4"), ends=ends) -> Iterator[tuple]:
                 nonlocal number
                 start = 0
                 for own, end in zip(ids, ends.tolist(), strict=True):
-                    held[number] = [own, flat[start:end], end - start]
+                    held[number] = [own, flat[start:end].copy(), end - start]  # not a view: the batch may go
                     yield from packer.place(number, 0, end - start, end - start)
                     number, start = number + 1, end
 
@@ -161,11 +162,6 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks, limits: Limits, end_id: in
     yield from rows(packer.finish())
 
 
-def _joined(flat: np.ndarray, ends: np.ndarray, last: list[bool], split: list[bool], end_id: int) -> np.ndarray:
-    add = np.flatnonzero(np.array(last) | np.array(split))
-    return np.insert(flat, ends[add], np.where(np.array(last)[add], end_id, vocab.SPECIAL_ID).astype(np.uint32))
-
-
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, limits: Limits = Limits(), end_id: int = 1) -> DataFrame:
     """Pieces (id, start, length, ids binary of little-endian 32-bit numbers, doc_tokens, sequence_id, offset).
 
