@@ -155,7 +155,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of words, encoded once each while they are kept; the store starts anew when it holds ``cap`` words."""
 
-    def __init__(self, encode: Callable[[str], list[int]], cap: int = 1_500_000):
+    def __init__(self, encode: Callable[[str], list[int]], cap: int = 400_000):
         self.encode, self.cap = encode, cap
         self._clear()
 
