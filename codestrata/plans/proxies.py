@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.config import Config, resolve
@@ -200,6 +200,25 @@ def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("log_id", "commit_pos", "hash", "date", "path", "previous_path", "added_lines", "deleted_lines", "binary")
 
 
+_HISTORY_SQL = "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS commit_pos FROM orders), r AS (SELECT k, c, commit_pos, CAST(1 AS bigint) AS place, NULL AS path, NULL AS previous_path, CAST(NULL AS bigint) AS added_lines, CAST(NULL AS bigint) AS deleted_lines, CAST(NULL AS boolean) AS binary FROM o UNION ALL SELECT k, c, commit_pos, 2, concat('p\tq', c), NULL, CASE WHEN k % 7 = 0 THEN 0 ELSE c END, CASE WHEN k % 7 = 0 THEN 0 ELSE 3 END, k % 7 = 0 FROM o WHERE k % 11 <> 0 UNION ALL SELECT k, c, commit_pos, 3, concat('new', k), concat('old', k), 1, 2, false FROM o WHERE k % 11 <> 0 AND k % 5 = 0) "
+
+
+@_query("git_histories", _HISTORY_SQL + "SELECT c AS log_id, commit_pos, place, concat('h', k) AS hash, concat('d', k) AS date, path, previous_path, added_lines, deleted_lines, r.binary FROM r")
+def git_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders: a log for each customer, a commit for each order, newest first; every 11th key has no changes."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    counts = F.when(key % 7 == 0, F.lit("-\t-")).otherwise(F.concat_ws("\t", who.cast("string"), F.lit("3")))
+    renamed = F.when(key % 5 == 0, F.concat(F.lit("1\t2\t\0old"), key, F.lit("\0new"), key, F.lit("\0"))).otherwise("")
+    body = F.when(key % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("\n"), counts, F.lit("\tp\tq"), who, F.lit("\0"), renamed))
+    record = F.concat(F.lit("\x01h"), key, F.lit("\x1fd"), key, F.lit("\0"), body)
+    # A log is as long as a customer has orders.
+    commits = F.sort_array(F.collect_list(F.struct(key.alias("key"), record.alias("record"))), asc=False)
+    logs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(who.alias("log_id")).agg(F.array_join(commits["record"], "").alias("raw"))
+    placed = gitlog.parse_log(logs, by="log_id").withColumn("place", F.row_number().over(Window.partitionBy("log_id", "commit_pos").orderBy("file_pos")).cast("long"))
+    return placed.select("log_id", "commit_pos", "place", "hash", "date", "path", "previous_path", "added_lines", "deleted_lines", "binary")
+
+
+
 @_query("window_start", "SELECT event_id, strftime(ts - INTERVAL 365 DAY, '%Y-%m-%d') AS start FROM events")
 def window_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", gitlog.window_start_column(365, F.col("ts")).alias("start"))

@@ -3,6 +3,7 @@
 
 from codestrata.config import Config
 from codestrata.operators import ambient, deadcode
+from codestrata.plans import proxies
 from codestrata.streaming import edits
 
 
@@ -32,3 +33,15 @@ def test_edits(spark, tmp_path):
     edits.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), Config()).awaitTermination()
     got = {(r.batch, r.file, r.rule) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(0, "a.ts", "type-escape-any"), (1, "b.ts", "type-escape-comment")}
+
+
+def test_histories_hold_all_orders_in_their_order(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = proxies.queries()["git_histories"](spark, sf).where("path is null").collect()
+    expected = {}
+    for r in orders.orderBy(orders.o_orderkey.desc()).collect():
+        expected.setdefault(r.o_custkey, []).append(f"h{r.o_orderkey}")
+    got = {}
+    for r in sorted(rows, key=lambda r: r.commit_pos):
+        got.setdefault(r.log_id, []).append(r.hash)
+    assert got == expected and max(r.commit_pos for r in rows) > 0
