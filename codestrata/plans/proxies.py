@@ -65,6 +65,8 @@ def _with(names: str, body: str) -> str:
 
 CONFIG = Config()
 LOOSE = resolve({"churn": {"minCoChangeCommits": 2, "maxFilesPerCommit": 6, "minCoChangeDegree": 0.08}})
+#: As LOOSE, with the operator's own limit on a commit's files.
+WHOLE = resolve({"churn": {"minCoChangeCommits": 2, "minCoChangeDegree": 0.08}})
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -158,8 +160,8 @@ def churn_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS_SQL = "+h AS (SELECT commit, file FROM (SELECT DISTINCT commit, file, count(*) OVER (PARTITION BY commit) AS n FROM (SELECT DISTINCT commit, file FROM changes)) WHERE n BETWEEN 2 AND 6), n AS (SELECT file, count(*) AS n FROM h GROUP BY file HAVING count(*) >= 2), pairs AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS together, na.n AS commits_a, nb.n AS commits_b, round(count(*) / least(na.n, nb.n), 6) AS degree FROM h a JOIN h b ON a.commit = b.commit AND a.file < b.file JOIN n na ON na.file = a.file JOIN n nb ON nb.file = b.file GROUP BY a.file, b.file, na.n, nb.n HAVING count(*) >= 2 AND count(*) / least(na.n, nb.n) >= 0.08) "
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn.co_changes(churn.histories(_frames(spark, sf_dir, "changes")[0], LOOSE), LOOSE)
+def _pairs(spark: SparkSession, sf_dir: str, config: Config = LOOSE) -> DataFrame:
+    return churn.co_changes(churn.histories(_frames(spark, sf_dir, "changes")[0], config), config)
 
 
 @_query("co_changes", _with("changes", _PAIRS_SQL + "SELECT * FROM pairs"))
@@ -173,6 +175,20 @@ def coupling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.coupling_findings(pairs, LOOSE).select("id", "file", "symbol", "value", "severity")
 
 
+_WHOLE_PAIRS_SQL = _PAIRS_SQL.replace("BETWEEN 2 AND 6", "BETWEEN 2 AND 20")
+
+
+@_query("co_changes_whole", _with("changes", _WHOLE_PAIRS_SQL + "SELECT * FROM pairs"))
+def co_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_pairs(spark, sf_dir, WHOLE), "degree")
+
+
+@_query("coupling_findings_whole", SQL["coupling_findings"].replace("BETWEEN 2 AND 6", "BETWEEN 2 AND 20"))
+def coupling_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _round(_pairs(spark, sf_dir, WHOLE), "degree").withColumn("linked", F.lit(False))
+    return churn.coupling_findings(pairs, WHOLE).select("id", "file", "symbol", "value", "severity")
+
+
 _NAMED_PAIRS = "SELECT DISTINCT concat('src/s', a.s_suppkey, '.ts') AS file_a, concat('src/s', b.s_suppkey, '.ts') AS file_b FROM supplier a JOIN supplier b ON b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 4"
 
 

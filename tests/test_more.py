@@ -2,7 +2,7 @@
 
 
 from codestrata.config import Config
-from codestrata.operators import ambient, deadcode
+from codestrata.operators import ambient, churn, deadcode
 from codestrata.plans import proxies
 from codestrata.streaming import edits
 
@@ -45,3 +45,16 @@ def test_histories_hold_all_orders_in_their_order(spark, sf):
     for r in sorted(rows, key=lambda r: r.commit_pos):
         got.setdefault(r.log_id, []).append(r.hash)
     assert got == expected and max(r.commit_pos for r in rows) > 0
+
+
+def test_pairs_of_large_commits_are_counted(spark, sf):
+    changes = proxies._frames(spark, sf, "changes")[0].select("commit", "file").distinct()
+    sizes = changes.groupBy("commit").count()
+    large = sizes.where("count between 7 and 20").select("commit")
+    assert large.count() > 0 and sizes.where("count > 20").count() == 0
+    a, b = changes.join(large, "commit"), changes.join(large, "commit")
+    hidden = a.withColumnRenamed("file", "file_a").join(b.withColumnRenamed("file", "file_b"), "commit").where("file_a < file_b").groupBy("file_a", "file_b").count().where("count >= 2")
+    got = proxies.queries()["co_changes_whole"](spark, sf)
+    assert got.join(hidden, ["file_a", "file_b"], "left_semi").count() > 0
+    kept = {config.churn["maxFilesPerCommit"]: churn.histories(changes, config).select("commit").distinct() for config in (proxies.LOOSE, proxies.WHOLE)}
+    assert large.join(kept[6], "commit").count() == 0 and large.join(kept[20], "commit").count() == large.count()
