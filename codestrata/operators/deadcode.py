@@ -144,8 +144,10 @@ def unused_exports(exports: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def unused_dependencies(declared: DataFrame, refs: DataFrame) -> DataFrame:
-    """Declared (dir, package) that no file below the folder imports."""
-    used = refs.where(specifiers.kind_of(F.col("specifier")) == "bare").select(F.explode(globs.ancestors_with_root(F.col("file"))).alias("dir"), specifiers.package_of(F.col("specifier")).alias("package")).distinct()
+    """Declared (dir, package) that no file below the folder imports; the ``@types`` of a package go with it."""
+    package = specifiers.package_of(F.col("specifier"))
+    named = refs.where(specifiers.kind_of(F.col("specifier")) == "bare").select("file", F.explode(F.array(package, specifiers.types_package_of(package))).alias("package")).distinct()
+    used = named.select(F.explode(globs.ancestors_with_root(F.col("file"))).alias("dir"), "package").distinct()
     return declared.select("dir", "package").distinct().join(used, ["dir", "package"], "left_anti")
 
 

@@ -20,6 +20,11 @@ from codestrata.operators import churn, deadcode, duplication, findings, graph,
 from codestrata.plans.lineage import written
 from codestrata.sources import files, gitlog, manifests, workspaces
 
+#: Sources of any kind and tools' settings, which may use a declared package, and folders of output.
+SOURCES = tuple(f"**/*.{e}" for e in manifests.EXTENSIONS)
+SETTINGS = ("**/tsconfig*.json", "**/jsconfig*.json", "**/.*rc", "**/.*rc.*", "**/*.config.*")
+OUTPUT = ("**/node_modules/**", "dist/**", "build/**", "out/**", "coverage/**", ".git/**")
+
 
 @dataclass
 class Report:
@@ -128,7 +133,11 @@ def scan(spark: SparkSession, root: str, config: Config, git: bool = True, tools
         measured["duplication__lines"] = copied
         measured["duplication__percent"] = copied.crossJoin(lines.agg(F.count("*").alias("total"))).select(F.coalesce(F.least(F.try_divide(F.col("n") * 100.0, F.col("total")), F.lit(100.0)), F.lit(0.0)).alias("percent"))  # one row each
         report.tools["jscpd"] = __version__
-        dead, own = _dead_code(spark, root, parsed, resolved, edges, kept, config, notes)
+        every = files.in_scope(texts, Config(include=SOURCES, exclude=OUTPUT), dirs_out, files_out)
+        uses = refs.select("file", "specifier").union(Parsed(every.join(scoped.select("file"), "file", "left_anti")).imports().select("file", "specifier"))
+        settings = files.in_scope(texts, Config(include=SETTINGS, exclude=OUTPUT), dirs_out, files_out)
+        named = settings.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"""(["'])([^"'\n]+)\1"""), F.lit(2))).alias("specifier"))
+        dead, own = _dead_code(spark, root, parsed, resolved, edges, kept, config, notes, dirs, uses.union(named))
         if dead is not None:
             report.tools["knip"] = __version__
             report.scope["knip_trusted"] = True
@@ -168,7 +177,7 @@ def _history(spark: SparkSession, report: Report, config: Config, revisions: str
     measured["coupling__hidden__count"] = pairs.agg(F.count_if(~F.col("linked")).alias("n"))
 
 
-def _dead_code(spark: SparkSession, root: str, parsed: Parsed, resolved: DataFrame, edges: DataFrame, kept: DataFrame, config: Config, notes: list[str]) -> tuple[DataFrame | None, bool]:
+def _dead_code(spark: SparkSession, root: str, parsed: Parsed, resolved: DataFrame, edges: DataFrame, kept: DataFrame, config: Config, notes: list[str], dirs: list[str], uses: DataFrame) -> tuple[DataFrame | None, bool]:
     """Findings by reachability from the stated entry points, or None where those can't be trusted."""
     patterns, added, own = manifests.declared_entries(root, [r.file for r in kept.collect()])
     plain = [x for p in patterns for x in _alternatives(p)]
@@ -184,7 +193,9 @@ def _dead_code(spark: SparkSession, root: str, parsed: Parsed, resolved: DataFra
     lines = live.groupBy("file", "name").agg(F.min("line").cast("int").alias("line"))
     rows = unused.select("file", F.lit("unused-file").alias("rule"), F.lit("major").alias("severity"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"))
     rows = rows.unionByName(exports.join(lines, ["file", "name"]).select("file", F.lit("unused-export").alias("rule"), F.lit("major").alias("severity"), "name", "line"))
-    found = written(deadcode.report_findings(deadcode.classify_exports(rows, origins), config))
+    spare, denied = _unused_packages(spark, root, dirs, uses)
+    rows = rows.unionByName(deadcode.in_scope(spare, kept).select(*rows.columns))
+    found = written(deadcode.report_findings(deadcode.classify_exports(rows, origins), config, denied))
     judged, ok = deadcode.judged(found, kept.count(), config)
     if not ok:
         notes.append(f"the dead-code report isn't trusted; {added} entry points were declared")
@@ -192,6 +203,20 @@ def _dead_code(spark: SparkSession, root: str, parsed: Parsed, resolved: DataFra
     return judged, own is not None
 
 
+def _unused_packages(spark: SparkSession, root: str, dirs: list[str], uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of packages that are declared but not used, and (dir, name) of those that have binaries alone."""
+    declared = manifests.declared_packages(root, dirs)
+    scripts = [(manifests.inside(d, "package.json"), p) for d in dirs for p in manifests.run_by_scripts(root, d, [n for at, n, _ in declared if at == d])]
+    rows = spark.createDataFrame(declared, "dir string, package string, line int")
+    unused = deadcode.unused_dependencies(rows, uses.union(spark.createDataFrame(scripts, "file string, specifier string")))
+    # As many as the package files declare, at most.
+    left = sorted((r.dir, r.package) for r in unused.collect())
+    lines = {(d, p): line for d, p, line in declared}
+    entries = [(manifests.inside(d, "package.json"), "unused-dependency", "major", p, lines[d, p]) for d, p in left]
+    denied = [(d, p) for d, p in left if manifests.is_binary_only(root, d, p)]
+    return spark.createDataFrame(entries, "file string, rule string, severity string, name string, line int"), spark.createDataFrame(denied, "dir string, name string")
+
+
 def _alternatives(pattern: str) -> list[str]:
     """Globs without braces."""
     if "{" not in pattern:

@@ -20,6 +20,9 @@ EXTENSIONS = ["js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "cts"]
 SCRIPT_DIRS = ["scripts", "bin"]
 OUTPUT_DIRS = ["node_modules/", "dist/", "build/", "out/", "coverage/"]
 SETUP_KEYS = ["setupFiles", "setupFilesAfterEnv", "globalSetup", "globalTeardown"]
+REMOVABLE = ["dependencies", "devDependencies"]
+#: Packages that serve without an import of them.
+IMPLICIT = ["@types/bun", "@types/node", "knip", "typescript"]
 SCHEMA = "dir string, dependencies array<string>, subpaths array<string>, aliases array<string>, mappings array<struct<pattern:string,targets:array<string>>>, base_url string, verbatim boolean, decorators boolean, trustworthy boolean, reason string"
 
 
@@ -111,6 +114,44 @@ def as_rows(spark: SparkSession, manifests: Iterable[Manifest]) -> DataFrame:
     return spark.createDataFrame([(m.dir, m.dependencies, m.subpaths, m.aliases, m.mappings, m.base_url, m.verbatim, m.decorators, m.trustworthy, m.reason) for m in manifests], SCHEMA)
 
 
+def declared_packages(root: str | Path, dirs: Iterable[str]) -> list[tuple[str, str, int | None]]:
+    """(dir, package, line) of what the package files declare for use at run time or in development."""
+    out = []
+    for d in dirs:
+        path = Path(root) / d / "package.json"
+        parsed = read_json(path)
+        if not isinstance(parsed, dict):
+            continue
+        lines = path.read_text(encoding="utf-8").splitlines()
+        for name in sorted({k for s in REMOVABLE if isinstance(parsed.get(s), dict) for k in parsed[s]} - set(IMPLICIT)):
+            out.append((d, name, next((k for k, line in enumerate(lines, 1) if line.lstrip().startswith(json.dumps(name) + ":")), None)))
+    return out
+
+
+def installed_package(root: str | Path, from_dir: str, package: str) -> tuple[Path, dict] | None:
+    """(folder, package file) of the package, sought in each folder up to the root."""
+    parts = [p for p in from_dir.split("/") if p not in ("", ".")]
+    for depth in range(len(parts), -1, -1):
+        folder = Path(root, *parts[:depth], "node_modules", package)
+        if isinstance(parsed := read_json(folder / "package.json"), dict):
+            return folder, parsed
+    return None
+
+
+def run_by_scripts(root: str | Path, package_dir: str, packages: Iterable[str]) -> list[str]:
+    """Those of the packages that a script names, themselves or by one of their binaries."""
+    parsed = read_json(Path(root) / package_dir / "package.json")
+    scripts = parsed.get("scripts") if isinstance(parsed, dict) else None
+    words = {w for s in scripts.values() if isinstance(s, str) for w in tokens(s)} if isinstance(scripts, dict) else set()
+    out = []
+    for name in packages:
+        found = installed_package(root, package_dir, name) if words else None
+        binaries = found[1].get("bin") if found else None
+        if words & {name, name.rsplit("/", 1)[-1], *(binaries if isinstance(binaries, dict) else ())} or any(w.startswith(name + "/") for w in words):
+            out.append(name)
+    return out
+
+
 def tokens(command: str) -> list[str]:
     words = (re.sub(r"^\./", "", re.sub(r"^['\"]|['\"]$", "", w)) for w in re.split(r"[\s;|&=]+", command))
     return [w for w in words if w]

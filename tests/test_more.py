@@ -1,9 +1,11 @@
 """Ambient modules, reports beside native rules, and the stream of edits."""
 
+import json
 
 from codestrata.config import Config
 from codestrata.operators import ambient, churn, deadcode
 from codestrata.plans import proxies
+from codestrata.plans.scan import scan
 from codestrata.streaming import edits
 
 
@@ -58,3 +60,30 @@ def test_pairs_of_large_commits_are_counted(spark, sf):
     assert got.join(hidden, ["file_a", "file_b"], "left_semi").count() > 0
     kept = {config.churn["maxFilesPerCommit"]: churn.histories(changes, config).select("commit").distinct() for config in (proxies.LOOSE, proxies.WHOLE)}
     assert large.join(kept[6], "commit").count() == 0 and large.join(kept[20], "commit").count() == large.count()
+
+
+def put(root, **files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text if isinstance(text, str) else json.dumps(text, indent=1))
+
+
+def test_a_scan_reports_unused_packages(spark, tmp_path):
+    declared = "used typed spare binary inscript tested plugin injs @types/used @types/node @types/spare".split()
+    put(tmp_path, **{
+        "package.json": {"name": "p", "scripts": {"go": "runs --x"}, "dependencies": dict.fromkeys(declared, "1"), "peerDependencies": {"peer": "1"}},
+        "src/main.ts": "import 'used/x'\nimport type { T } from 'typed'\nimport './a'\n",
+        "src/a.ts": "export {}\n",
+        "src/a.test.ts": "import 'tested'\n",
+        "tool.js": "const x = require('injs')\n",
+        "tsconfig.json": {"compilerOptions": {"types": ["plugin/x"]}},
+        "sub/package.json": {"name": "s", "dependencies": {"used": "1"}},
+        "sub/index.ts": "export const x = 1\n",
+        "src/index.ts": "import '../sub/index'\n",
+        "node_modules/binary/package.json": {"name": "binary", "bin": "x"},
+        "node_modules/inscript/package.json": {"name": "inscript", "bin": {"runs": "x"}, "main": "y"},
+    })
+    report = scan(spark, str(tmp_path), Config(), git=False)
+    found = report.findings.where("rule = 'unused-dependency'").collect()
+    assert {(r.file, r.symbol) for r in found} == {("package.json", "spare"), ("package.json", "@types/spare"), ("sub/package.json", "used")}
+    assert report.tools["knip"] and all(r.line for r in found)
