@@ -16,7 +16,7 @@ from codestrata import __version__
 from codestrata.config import Config
 from codestrata.frontend.tables import Parsed
 from codestrata.functions import globs, specifiers
-from codestrata.operators import churn, deadcode, duplication, findings, graph, imports, metrics, ratchet, slop
+from codestrata.operators import ambient, churn, deadcode, duplication, findings, graph, imports, metrics, ratchet, slop
 from codestrata.plans.lineage import written
 from codestrata.sources import files, gitlog, manifests, workspaces
 
@@ -57,11 +57,29 @@ def _pairs(spark: SparkSession, **named: DataFrame | None) -> DataFrame:
     return out
 
 
-def _governed(spark: SparkSession, root: str, listing: DataFrame) -> tuple[DataFrame, list[str]]:
+def _governed(spark: SparkSession, root: str, listing: DataFrame) -> tuple[list[manifests.Manifest], list[str]]:
     """Manifests of the project's packages, and their folders. Settings are small files, which the driver reads."""
     names = [r.file for r in listing.where(F.col("file").rlike(r"(?:^|/)package\.json$") & ~F.col("file").rlike(r"(?:^|/)node_modules/")).collect()]
     dirs = sorted({posixpath.dirname(n) for n in names if manifests.is_project(Path(root) / n)} | {""})
-    return manifests.as_rows(spark, [manifests.read(root, d) for d in dirs]), dirs
+    return [manifests.read(root, d) for d in dirs], dirs
+
+
+def _undeclared(spark: SparkSession, root: str, refs: DataFrame, governing: list[manifests.Manifest], installed: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Undeclared packages; one that seems unknown is first looked for by all that its specifier may lead to."""
+    rows = manifests.as_rows(spark, governing)
+    found = imports.undeclared(refs, rows, installed)
+    unknown = written(found.where("rule = 'unknown-dependency'").select("dir", "file", "specifier", "package").distinct())
+    asked = {r.dir for r in unknown.select("dir").distinct().collect()}
+    # Nothing is read for manifests without an unknown package.
+    typings = [t for m in governing if m.dir in asked for t in manifests.installed_typings(root, m, ambient.MOST_PACKAGES)]
+    texts = spark.createDataFrame(typings, "dir string, package string, text string")
+    leads = ambient.resolvable(unknown, ambient.patterns(texts, texts.select("dir", "package").distinct()))
+    # A package's own ``@types``, installed above the file, resolve it too; subpaths are no packages.
+    bare = unknown.where(specifiers.kind_of(F.col("specifier")) == "bare").select("file", "specifier", F.explode(globs.ancestors_with_root(F.col("file"))).alias("dir"), specifiers.types_package_of(F.col("package")).alias("package"))
+    leads = leads.union(bare.join(installed.select("dir", "package").distinct(), ["dir", "package"], "left_semi").select("file", "specifier"))
+    if resolved is not None:
+        leads = leads.union(resolved.where("target is not null").select("file", "specifier"))
+    return imports.undeclared(refs, rows, installed, leads)
 
 
 def _vendored(spark: SparkSession, root: str, dirs: list[str], refs: DataFrame, scoped: DataFrame, notes: list[str]) -> DataFrame:
@@ -85,7 +103,7 @@ def scan(spark: SparkSession, root: str, config: Config, git: bool = True, tools
         notes.append(f"ignored files aren't left out: {ignored.reason}")
     dirs_out, files_out = (spark.createDataFrame([(x,) for x in names], f"{c} string") for c, names in (("dir", ignored.directories), ("file", ignored.files)))
     scoped = files.in_scope(texts, config, dirs_out, files_out)
-    manifest_rows, dirs = _governed(spark, root, listing)
+    governing, dirs = _governed(spark, root, listing)
     parsed = Parsed(scoped)
     refs = parsed.imports()
     outside = files.in_scope(texts, Config(include=config.include, exclude=tuple(g for g in config.exclude if not files.TEST_GLOB.search(g))), dirs_out, files_out)
@@ -107,7 +125,7 @@ def scan(spark: SparkSession, root: str, config: Config, git: bool = True, tools
     nodes = keep(parsed.nodes())
     typed = resolved.where("target is not null and target <> file").select(F.col("file").alias("src"), F.col("target").alias("dst"), F.col("static").alias("survives_emit"), "kind")
     installed = listing.select(F.regexp_extract("file", r"^(?:(.*)/)?node_modules/((?:@[^/]+/)?[^/]+)/", 1).alias("dir"), F.regexp_extract("file", r"^(?:(.*)/)?node_modules/((?:@[^/]+/)?[^/]+)/", 2).alias("package")).where("package <> ''").distinct()
-    undeclared = imports.undeclared(keep(refs), manifest_rows, installed)
+    undeclared = _undeclared(spark, root, keep(refs), governing, installed, resolved)
     found += [imports.undeclared_findings(undeclared), imports.unresolved_findings(imports.unresolved(resolved, listing))]
     cycles = written(graph.cycles(graph.runtime_edges(typed, nodes), nodes))
     found.append(graph.cycle_findings(cycles))
@@ -235,9 +253,9 @@ def scan_file(spark: SparkSession, root: str, file: str, config: Config) -> Data
     while parts[-1]:
         parts.append(posixpath.dirname(parts[-1]))
     dirs = [d for d in parts if manifests.is_project(Path(root) / d / "package.json")] or [""]
-    rows = manifests.as_rows(spark, [manifests.read(root, d) for d in dirs])
-    packages = {r.package for r in parsed.imports().select(specifiers.package_of(F.col("specifier")).alias("package")).collect()}
+    package = specifiers.package_of(F.col("specifier"))
+    packages = {p for r in parsed.imports().select(package.alias("package"), specifiers.types_package_of(package).alias("types")).collect() for p in r}
     there = [(d, p) for d in parts for p in packages if p and (Path(root) / d / "node_modules" / p).exists()]
-    undeclared = imports.undeclared(parsed.imports(), rows, spark.createDataFrame(there, "dir string, package string"))
+    undeclared = _undeclared(spark, root, parsed.imports(), [manifests.read(root, d) for d in dirs], spark.createDataFrame(there, "dir string, package string"))
     found = findings.union_all(metrics.threshold_findings(parsed.file_metrics(), parsed.functions(), config), slop.slop_findings(parsed.hits(config)), imports.undeclared_findings(undeclared))
     return found.orderBy(*findings.ordering())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -138,6 +139,41 @@ def installed_package(root: str | Path, from_dir: str, package: str) -> tuple[Pa
     return None
 
 
+def _types_of_exports(value: Any) -> str | None:
+    """The first path for types, at any depth of conditions."""
+    if not isinstance(value, dict):
+        return None
+    if isinstance(value.get("types"), str):
+        return value["types"]
+    return next((x for v in value.values() if (x := _types_of_exports(v)) is not None), None)
+
+
+def typings_entry(folder: Path, parsed: dict) -> Path | None:
+    """The declaration file of an installed package: as it states, else beside its main file."""
+    named = [parsed.get("types"), parsed.get("typings"), _types_of_exports(parsed.get("exports"))]
+    if isinstance(parsed.get("main"), str):
+        named.append(re.sub(r"\.[cm]?js$", ".d.ts", parsed["main"]))
+    paths = (folder / n for n in [*named, "index.d.ts"] if isinstance(n, str))
+    return next((p for p in paths if p.name.endswith(".d.ts") and p.is_file()), None)
+
+
+def installed_typings(root: str | Path, manifest: Manifest, most: int) -> list[tuple[str, str, str]]:
+    """(dir, package, text) of the declarations of installed packages that a manifest leads to, the nearest first."""
+    out, seen, queue = [], set(), deque(manifest.dependencies)
+    while queue and len(seen) < most:
+        name = queue.popleft()
+        if name in seen:
+            continue
+        seen.add(name)
+        if (found := installed_package(root, manifest.dir, name)) is None:
+            continue
+        if entry := typings_entry(*found):
+            out.append((manifest.dir, name, entry.read_text(encoding="utf-8", errors="replace")))
+        if isinstance(found[1].get("dependencies"), dict):
+            queue.extend(found[1]["dependencies"])
+    return out
+
+
 def run_by_scripts(root: str | Path, package_dir: str, packages: Iterable[str]) -> list[str]:
     """Those of the packages that a script names, themselves or by one of their binaries."""
     parsed = read_json(Path(root) / package_dir / "package.json")

@@ -5,7 +5,7 @@ import json
 from codestrata.config import Config
 from codestrata.operators import ambient, churn, deadcode
 from codestrata.plans import proxies
-from codestrata.plans.scan import scan
+from codestrata.plans.scan import scan, scan_file
 from codestrata.streaming import edits
 
 
@@ -87,3 +87,25 @@ def test_a_scan_reports_unused_packages(spark, tmp_path):
     found = report.findings.where("rule = 'unused-dependency'").collect()
     assert {(r.file, r.symbol) for r in found} == {("package.json", "spare"), ("package.json", "@types/spare"), ("sub/package.json", "used")}
     assert report.tools["knip"] and all(r.line for r in found)
+
+
+def test_declared_modules_are_no_unknown_packages(spark, tmp_path):
+    put(tmp_path, **{
+        "package.json": {"name": "p", "dependencies": {"preset": "1"}},
+        "sub/package.json": {"name": "s", "dependencies": {}},
+        "src/index.ts": "import '../sub/a'\nimport '@theme/Layout'\nimport 'virtual:x'\nimport 'ghost'\nimport 'commented'\nimport 'hastypes'\n",
+        "sub/a.ts": "import 'virtual:x'\n",
+        "node_modules/preset/package.json": {"name": "preset", "dependencies": {"theme": "1", "any": "1"}},
+        "node_modules/theme/package.json": {"name": "theme", "exports": {".": {"import": {"types": "./t/all.d.ts"}}}},
+        "node_modules/theme/t/all.d.ts": "declare module '@theme/*' {}\n/* declare module 'commented' {} */\ndeclare module \"virtual:x\" {}\n// declare module 'ghost'\n",
+        "node_modules/any/package.json": {"name": "any", "types": "index.d.ts"},
+        "node_modules/any/index.d.ts": "declare module '*' {}\n",
+        "node_modules/@types/hastypes/package.json": {"name": "@types/hastypes"},
+    })
+    report = scan(spark, str(tmp_path), Config(), git=False, tools=False)
+    unknown = report.findings.where("rule = 'unknown-dependency'")
+    # The manifest of sub leads to no package, so what others declare is not for its files.
+    assert {(r.file, r.symbol) for r in unknown.collect()} == {("src/index.ts", "ghost"), ("src/index.ts", "commented"), ("sub/a.ts", "virtual:x")}
+    assert {r.key: r.value for r in report.aggregates.collect()}["imports.unknown.count"] == 3
+    alone = scan_file(spark, str(tmp_path), "src/index.ts", Config()).where("rule = 'unknown-dependency'")
+    assert {r.symbol for r in alone.collect()} == {"ghost", "commented"}
