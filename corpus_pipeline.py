@@ -26,11 +26,13 @@ def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id, once.
 
-    Rows without an id name no group: of those with the same text one stays.
+    A row is known by its id and its text, as ids may be repeated with other texts. Rows without an id come after all
+    others of their group; of equal ids, the text of the least hash stays.
     """
-    kept = near_dup.clusters(docs).where("kept").select(F.col("id").alias("__id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    own = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.withColumn("__key", own)
+    kept = near_dup.clusters(rows, id_col="__key").where("kept").select(F.col("id").alias("__key")).distinct()
+    return rows.join(kept, "__key").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,12 @@ def test_awkward_rows(spark, sf):
     kept = corpus_pipeline.keep_one(spark, rows, sf).collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(4) == 1 and 8 not in ids and ids.count(None) == 1
+
+
+def test_near_duplicates_by_id_and_text(spark, sf):
+    base = " ".join(f"w{k}" for k in range(200))
+    near, other = base + " end", " ".join(f"v{k}" for k in range(200))
+    rows = [(1, base), (1, other), (1, other), (2, near), (None, near + " more"), (None, other + " more"), (None, "all alone " + "x " * 30), (None, "all alone " + "x " * 30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_one(spark, docs, sf).collect()))
+    assert kept == sorted([(1, base), (1, other), (0, "all alone " + "x " * 30)])
