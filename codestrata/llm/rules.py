@@ -94,17 +94,17 @@ def ordered(df: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text
 def cascade(texts: list[str], rules: tuple[Rule, ...], stats: Stats | None = None, alive: np.ndarray | None = None) -> np.ndarray:
     """Of each text, the place of the rule that rejected it, or -1. alive: the texts to look at."""
     by = np.full(len(texts), -1)
-    at = np.arange(len(texts)) if alive is None else np.flatnonzero(alive)
-    inside = at  # places of at's texts in the present statistics
+    at = np.arange(len(texts))
     stats = stats or Stats(texts)
+    left = np.ones(len(texts), bool) if alive is None else alive
     for k, rule in enumerate(rules):
+        if not left.all():  # a rule works on what the former ones have left, and on nothing else
+            at, stats = at[left], stats.take(left)
         if not len(at):
             break
-        if 2 * len(at) < stats.n:  # most are rejected: go on with the others alone
-            stats, inside = Stats([texts[i] for i in at.tolist()]), np.arange(len(at))
-        rejected = rule.rejects(stats)[inside]
+        rejected = rule.rejects(stats)
         by[at[rejected]] = k
-        at, inside = at[~rejected], inside[~rejected]
+        left = ~rejected
     return by
 
 

@@ -36,6 +36,14 @@ class Stats:
         self.n = len(texts)
         self._hashes: np.ndarray | None = None
 
+    def take(self, keep: np.ndarray) -> Stats:
+        """Of the texts that keep says, with what is worked out already."""
+        out = Stats.__new__(Stats)
+        out.words, own = self.words.take(keep)
+        out.n = len(out.words.bounds) - 1
+        out._hashes = None if self._hashes is None else self._hashes[own]
+        return out
+
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
             self._hashes = self.words.hashes()

@@ -32,6 +32,18 @@ class Words:
         self.ends = np.flatnonzero(solid & (gap[2:] | begins[1:])) + 1
         self.offsets = np.searchsorted(self.starts, self.bounds)
 
+    def take(self, keep: np.ndarray) -> tuple[Words, np.ndarray]:
+        """The words of the texts that keep says, and which words those are; nothing is read again."""
+        sizes, counts = np.diff(self.bounds), np.diff(self.offsets)
+        own = np.repeat(keep, counts)
+        out = Words.__new__(Words)
+        out.raw = self.raw[np.repeat(keep, sizes)]
+        out.bounds = np.concatenate([[0], np.cumsum(sizes[keep])]).astype(np.int64)
+        out.offsets = np.concatenate([[0], np.cumsum(counts[keep])]).astype(np.int64)
+        shift = np.repeat(out.bounds[:-1] - self.bounds[:-1][keep], counts[keep])
+        out.starts, out.ends = self.starts[own] + shift, self.ends[own] + shift
+        return out, own
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         return pretok.range_hashes(LOWER[self.raw] if lower else self.raw, self.starts, self.ends)
 

@@ -151,3 +151,30 @@ def test_a_clashing_score_column_is_an_error(spark):
     model = quality.fit(quality.features([""]), np.ones(1, bool))
     with pytest.raises(ValueError):
         quality.score(spark.createDataFrame([("a", 1.0)], "text string, score double"), model)
+
+
+def test_every_rule_sees_only_what_is_left():
+    seen = []
+
+    def counting(bad):
+        def rejects(s):
+            seen.append(s.n)
+            return s.n_words() == bad
+        return rejects
+
+    texts = ["a b", "a", "", "é b c", "a b c", "d e f", "x\ny z", "w w w"]
+    by = rules.cascade(texts, tuple(rules.Rule(str(k), counting(k)) for k in range(4)))
+    assert seen == [8, 7, 6, 5] and by.tolist() == [2, 1, 0, 3, 3, 3, 3, 3]
+
+
+def test_statistics_of_a_part_are_those_of_its_texts():
+    texts = random_texts(5)
+    keep = np.arange(len(texts)) % 3 != 1
+    for hashed in (False, True):
+        whole = Stats(texts)
+        if hashed:
+            whole.hashes()
+        part, alone = whole.take(keep), Stats([t for t, k in zip(texts, keep, strict=True) if k])
+        for name in (*rules.METRICS, "n_lines", "n_chars", "n_distinct_words", "squared_lengths"):
+            assert (getattr(part, name)() == getattr(alone, name)()).all()
+    assert whole.take(np.zeros(len(texts), bool)).n == 0
