@@ -205,6 +205,20 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, li
     return rows.mapInArrow(functools.partial(_examples, limits=limits, id_type=to_arrow_type(kind)), f"id {kind.simpleString()}, length long, sequence_id long, offset long")
 
 
+def place_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits()) -> DataFrame:
+    """(id, length, sequence_id, offset, reason) of all examples, packed as by pack_examples.
+
+    One that can't be packed has no sequence and offset, and a reason: ``empty``, ``tokens`` or ``loss``, the limit that
+    it exceeds alone.
+    """
+    n = F.coalesce(F.col("tokens").cast("long"), F.lit(0))
+    reason = F.when(n <= 0, "empty").when(n > limits.tokens, "tokens").when(F.least(F.coalesce(F.col("loss").cast("long"), F.lit(0)), n) > limits.loss, "loss")
+    rows = common.pick(df, id=id_col, tokens=tokens_col, loss=loss_col).withColumn("reason", reason)
+    packed = pack_examples(rows.where("reason is null"), "id", "tokens", "loss", limits).withColumn("reason", F.lit(None).cast("string"))
+    none = F.lit(None).cast("long")
+    return packed.unionByName(rows.where("reason is not null").select("id", F.col("tokens").cast("long").alias("length"), none.alias("sequence_id"), none.alias("offset"), "reason"))
+
+
 def pieces(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
     return pack_documents(documents).select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

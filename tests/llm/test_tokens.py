@@ -170,3 +170,11 @@ def test_rows_that_change_between_readings_are_an_error(spark):
     rows = spark.createDataFrame([(k, "a b") for k in range(50)], "doc_id long, text string")
     with pytest.raises(Exception, match="write it before encoding"):
         bpe.encode(rows.mapInPandas(_changing, rows.schema)).collect()
+
+
+def test_examples_that_fit_nowhere_have_rows_with_a_reason(spark):
+    rows = [(1, 5000, 1), (2, 0, 0), (3, None, 7), (4, 100, 90), (5, 100, None), (6, 100, 10), (None, 20, 5), (7, 20, 900)]
+    got = packing.place_examples(spark.createDataFrame(rows, "id long, t long, l long"), "id", "t", "l", packing.Limits(512, 5, 50)).collect()
+    assert sorted((r.id or 0, r.reason) for r in got if r.reason) == [(1, "tokens"), (2, "empty"), (3, "empty"), (4, "loss")]
+    assert all((r.sequence_id is None) == (r.offset is None) == (r.reason is not None) for r in got)
+    assert sorted(r.id or 0 for r in got if r.reason is None) == [0, 5, 6, 7]
