@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -60,8 +60,7 @@ def unpack_words(payload: bytes) -> list[bytes]:
 class _Chunk:
     def __init__(self, number: int, buckets: int):
         self.number, self.buckets = number, buckets
-        self.place: dict[int, int] = {}
-        self.words: list[bytes] = []
+        self.place: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, np.ndarray, list]] = []
         self.chars = 0
 
@@ -72,39 +71,32 @@ class _Chunk:
                 pieces.append(piece)
                 of.append(i)
         words = pretok.split(pieces)
-        codes, unique = pd.factorize(words.hashes())
+        codes, unique = words.distinct()
         place = self.place
-        local = np.fromiter((place.setdefault(h, len(place)) for h in unique.tolist()), np.int64, len(unique))
-        if with_words and len(place) > len(self.words):
-            first = np.empty(len(unique), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            first = first[local >= len(self.words)]
-            big = words.big
-            self.words += [big[s:e].encode("utf-8") for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        local = np.fromiter((place.setdefault(w, len(place)) for w in unique), np.int64, len(unique))
         if not with_words:
             counts = np.bincount(np.array(of, np.int64), np.diff(words.offsets), len(texts))
             self.parts.append((local[codes], counts, ids))
         self.chars += len(words.big)
 
-    def order(self) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Words by bucket, their buckets, and a checksum of that list."""
-        hashes = np.fromiter(self.place, np.uint64, len(self.place))
-        bucket = ((hashes >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+    def order(self) -> tuple[list[bytes], np.ndarray, np.ndarray, bytes]:
+        """The words, their order by bucket, their buckets in that order, and a checksum of the list."""
+        words = [w.encode("utf-8") for w in self.place]
+        bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
-        return order, bucket[order], hashlib.sha256(hashes[order].tobytes()).digest()
+        return words, order, bucket[order], hashlib.sha256(b"\0".join([*words, str(len(words)).encode()])).digest()
 
     def word_rows(self) -> Iterator[tuple]:
-        order, bucket, guard = self.order()
+        words, order, bucket, guard = self.order()
         if not len(order):
             return
         yield self.number, GUARD, guard
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        words = self.words
         for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
             yield self.number, int(bucket[s]), pack_words([words[k] for k in order[s:e].tolist()])
 
     def place_rows(self) -> Iterator[tuple]:
-        order, _, guard = self.order()
+        _, order, _, guard = self.order()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         for part, (local, counts, ids) in enumerate(self.parts):

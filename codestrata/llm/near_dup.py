@@ -13,7 +13,7 @@
 5. Connected components by alternating stars, with the links in the shared folder after each round.
 
 A link is missed if no band agrees: with 40 bands of 5 registers about 1 in 10**7 at a similarity of 0.8, less above.
-Full sets are 64-bit hashes.
+A class is known by a digest of its set's 128-bit hashes; links are confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -88,15 +88,18 @@ def may_link(one: np.ndarray, many: np.ndarray, p: Params) -> np.ndarray:
     return equal - by_chance >= (p.percent / 100 - margin) * n
 
 
+def class_keys(high: np.ndarray, low: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """Digests of whole sets of 128-bit hashes, None for empty sets."""
+    edges, a, b = (8 * offsets).tolist(), high.tobytes(), low.tobytes()
+    return [hashlib.blake2b(a[s:e] + b[s:e], digest_size=16).digest() if e > s else None for s, e in zip(edges, edges[1:], strict=False)]
+
+
 @common.tidy
 def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):
-            hashes, offsets = words.sets(common.texts(part.column("text")), p.shingle)
-            regs = registers(hashes, offsets, p)
-            edges = offsets.tolist()
-            raw, wide = hashes.tobytes(), 8
-            keys = [hashlib.blake2b(raw[s * wide : e * wide], digest_size=16).digest() if e > s else None for s, e in zip(edges, edges[1:], strict=False)]
+            hashes, low, offsets = words.sets(common.texts(part.column("text")), p.shingle)
+            regs, keys = registers(hashes, offsets, p), class_keys(hashes, low, offsets)
             sketch = [r if k else None for r, k in zip((x.tobytes() for x in regs), keys, strict=True)]
             yield pa.record_batch([part.column("id"), part.column("text_hash"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "text_hash", "n_shingles", "key", "registers"])
 
@@ -159,11 +162,11 @@ def _estimated(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Reco
             yield group.select([*GROUP, "key"]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
 
 
-def linked(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
-    """For each set its component's first member, by similarities of full sets."""
+def linked(codes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of numbers its component's first member, by similarities of full sets."""
     n = np.diff(offsets)
     root = np.arange(len(n))
-    unique, code, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    _, code, times = np.unique(codes, return_inverse=True, return_counts=True)
     of = np.repeat(root, n)
     shared = times[code] > 1
     # No set can be linked that has too few hashes in common with all others together.
@@ -206,8 +209,7 @@ def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         if len(group) < 2:
             continue
         keys = group["key"].to_pylist()
-        hashes, offsets = words.sets(common.texts(group["text"].combine_chunks()), p.shingle)
-        root = linked(hashes, offsets, p.percent)
+        root = linked(*words.codes(common.texts(group["text"].combine_chunks()), p.shingle), p.percent)
         moved = np.flatnonzero(root != np.arange(len(root))).tolist()
         if moved:
             pairs = [sorted((keys[k], keys[root[k]])) for k in moved]
@@ -292,10 +294,8 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
 def _of_class(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, "text", words.BATCH_BYTES):
-            hashes, offsets = words.sets(common.texts(part.column("text")), p.shingle)
-            edges, raw, keys = offsets.tolist(), hashes.tobytes(), part.column("key").to_pylist()
-            own = [hashlib.blake2b(raw[8 * s : 8 * e], digest_size=16).digest() == k for s, e, k in zip(edges, edges[1:], keys, strict=False)]
-            yield part.select(["key", "text"]).filter(pa.array(own))
+            found = class_keys(*words.sets(common.texts(part.column("text")), p.shingle))
+            yield part.select(["key", "text"]).filter(pa.array([a == b for a, b in zip(found, part.column("key").to_pylist(), strict=True)]))
 
 
 #: The contract's parameters.

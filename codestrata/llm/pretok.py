@@ -66,14 +66,49 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def distinct(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each range, first range of each code) for ranges as in range_hashes: equal values share a code, no others.
+
+    Hashes only propose what is equal. Each range is compared with the first of its code, value by value; codes whose
+    ranges differ are dealt anew by the values themselves.
+    """
+    codes, unique = pd.factorize(range_hashes(values, starts, ends)) if len(starts) else (np.zeros(0, np.int64), starts)
+    first = np.empty(len(unique), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    of, sizes = first[codes], ends - starts
+    odd = sizes != sizes[of]
+    again = np.flatnonzero((of != np.arange(len(of))) & ~odd)
+    for begin, end in batches(sizes[again].tolist()):
+        some = again[begin:end]
+        size = sizes[some]
+        differs = values[ragged(starts[some], size)] != values[ragged(starts[of[some]], size)]
+        if differs.any():
+            odd[np.repeat(some, size)[differs]] = True
+    if odd.any():
+        known: dict[bytes, int] = {}
+        added: list[int] = []
+        for k in np.flatnonzero(np.isin(codes, codes[odd])).tolist():
+            key = values[starts[k] : ends[k]].tobytes()
+            if key not in known:
+                own = first[codes[k]] == k
+                known[key] = int(codes[k]) if own else len(first) + len(added)
+                added += [] if own else [k]
+            codes[k] = known[key]
+        first = np.concatenate([first, np.array(added, np.int64)])
+    return codes, first
+
+
 class Words:
     """The pre-tokens of several texts: word k is big[starts[k]:ends[k]]; text i has words[offsets[i]:offsets[i+1]]."""
 
     def __init__(self, big: str, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, codes: np.ndarray):
         self.big, self.starts, self.ends, self.offsets, self._codes = big, starts, ends, offsets, codes
 
-    def hashes(self) -> np.ndarray:
-        return range_hashes(self._codes, self.starts, self.ends)
+    def distinct(self) -> tuple[np.ndarray, list[str]]:
+        """(code of each word, the distinct words)."""
+        codes, first = distinct(self._codes, self.starts, self.ends)
+        big = self.big
+        return codes, [big[s:e] for s, e in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]
 
 
 def split(texts: list[str]) -> Words:
@@ -153,29 +188,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of words, encoded once each while they are kept; the store starts anew when it holds ``cap`` words."""
+    """Ids of words, encoded once each while they are kept; the store starts anew beyond ``cap`` words or ``cap_chars`` characters."""
 
-    def __init__(self, encode: Callable[[str], list[int]], cap: int = 400_000):
-        self.encode, self.cap = encode, cap
+    def __init__(self, encode: Callable[[str], list[int]], cap: int = 400_000, cap_chars: int = 16_000_000):
+        self.encode, self.cap, self.cap_chars = encode, cap, cap_chars
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.starts, self.sizes, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.place: dict[str, int] = {}
+        self.starts, self.sizes, self.pool, self.used, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
     def look_up(self, words: Words) -> np.ndarray:
         """Positions in starts and sizes, one for each word."""
-        if len(self.place) > self.cap:
+        if len(self.place) > self.cap or self.chars > self.cap_chars:
             self._clear()
-        hashes = words.hashes()
-        codes, unique = pd.factorize(hashes)
+        codes, unique = words.distinct()
         place, known = self.place, len(self.place)
-        out = np.fromiter((place.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        if (new := np.flatnonzero(out < 0)).size:
-            where = np.empty(len(unique), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            big, encode = words.big, self.encode
-            ids = [encode(big[s:e]) for s, e in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist(), strict=True)]
+        out = np.fromiter((place.get(w, -1) for w in unique), np.int64, len(unique))
+        if (at := np.flatnonzero(out < 0)).size:
+            new, encode = [unique[k] for k in at.tolist()], self.encode
+            ids = [encode(w) for w in new]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
             for name, need in (("starts", known + len(new)), ("sizes", known + len(new)), ("pool", self.used + len(flat))):
@@ -186,8 +218,9 @@ class WordIds:
             self.starts[known : known + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[known : known + len(new)] = sizes
             self.used += len(flat)
-            place.update(zip(unique[new].tolist(), range(known, known + len(new)), strict=True))
-            out[new] = np.arange(known, known + len(new))
+            self.chars += sum(map(len, new))
+            place.update(zip(new, range(known, known + len(new)), strict=True))
+            out[at] = np.arange(known, known + len(new))
         return out[codes]
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -23,9 +23,9 @@ def _sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Hashes that differ between texts."""
-    return pretok.mix(hashes ^ ((of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+def _within(codes: np.ndarray, of: np.ndarray) -> pd.Series:
+    """Numbers that equal codes of the same text share, and no others."""
+    return pd.Series(of * (int(codes.max(initial=0)) + 1) + codes)
 
 
 class Stats:
@@ -34,20 +34,21 @@ class Stats:
     def __init__(self, texts: list[str]):
         self.words = Words(texts)
         self.n = len(texts)
-        self._hashes: np.ndarray | None = None
+        self._codes: np.ndarray | None = None
 
     def take(self, keep: np.ndarray) -> Stats:
         """Of the texts that keep says, with what is worked out already."""
         out = Stats.__new__(Stats)
         out.words, own = self.words.take(keep)
         out.n = len(out.words.bounds) - 1
-        out._hashes = None if self._hashes is None else self._hashes[own]
+        out._codes = None if self._codes is None else self._codes[own]
         return out
 
-    def hashes(self) -> np.ndarray:
-        if self._hashes is None:
-            self._hashes = self.words.hashes()
-        return self._hashes
+    def codes(self) -> np.ndarray:
+        """A number for each word, the same for equal words."""
+        if self._codes is None:
+            self._codes = self.words.distinct()[0]
+        return self._codes
 
     def n_words(self) -> np.ndarray:
         return np.diff(self.words.offsets)
@@ -93,14 +94,14 @@ class Stats:
         starts, ends, of = self.lines()
         if not len(starts):
             return np.zeros(self.n, np.int64)
-        again = pd.Series(_within(pretok.range_hashes(self.words.raw, starts, ends), of)).duplicated().to_numpy()
+        again = _within(pretok.distinct(self.words.raw, starts, ends)[0], of).duplicated().to_numpy()
         return np.bincount(of[again], minlength=self.n)
 
     def n_repeat_words(self) -> np.ndarray:
         """Words in windows of five words that the text has twice or more; a word counts once."""
-        hashes, starts, offsets = self.words.windows(self.hashes(), WINDOW, whole_if_fewer=False)
+        starts, ends, offsets = self.words.windows(WINDOW, whole_if_fewer=False)
         of = np.repeat(np.arange(self.n), np.diff(offsets))
-        again = starts[pd.Series(_within(hashes, of)).duplicated(keep=False).to_numpy()] if len(hashes) else starts
+        again = starts[_within(pretok.distinct(self.codes(), starts, ends)[0], of).duplicated(keep=False).to_numpy()]
         edge = np.zeros(len(self.words.starts) + 1, np.int64)
         edge[again] += 1
         np.add.at(edge, again + WINDOW, -1)
@@ -108,8 +109,7 @@ class Stats:
 
     def n_distinct_words(self) -> np.ndarray:
         of = self.of_word()
-        new = ~pd.Series(_within(self.hashes(), of)).duplicated().to_numpy() if len(of) else np.zeros(0, bool)
-        return np.bincount(of[new], minlength=self.n)
+        return np.bincount(of[~_within(self.codes(), of).duplicated().to_numpy()], minlength=self.n)
 
     def squared_lengths(self) -> np.ndarray:
         """Sum of the words' squared lengths in bytes."""

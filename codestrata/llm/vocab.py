@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable
 
 from codestrata.llm import pretok
@@ -47,12 +48,15 @@ def word_encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("single", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-_STORES: dict[tuple, pretok.WordIds] = {}
+_STORES: dict[bytes, pretok.WordIds] = {}
 
 
 def shared_store(broadcast) -> pretok.WordIds:
     """This worker's store of encoded words for a broadcast vocabulary; it lives as long as the worker."""
-    key = hash(frozenset(list(broadcast.value.items())[:2000])), len(broadcast.value)
+    digest = hashlib.sha256()
+    for token, rank in broadcast.value.items():
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    key = digest.digest()
     if key not in _STORES:
         _STORES.clear()
         _STORES[key] = pretok.WordIds(word_encoder(broadcast.value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from codestrata.llm import pretok
@@ -44,31 +46,60 @@ class Words:
         out.starts, out.ends = self.starts[own] + shift, self.ends[own] + shift
         return out, own
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return pretok.range_hashes(LOWER[self.raw] if lower else self.raw, self.starts, self.ends)
+    def distinct(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each word, first word of each code), with A-Z lower-cased or as it is."""
+        return pretok.distinct(LOWER[self.raw] if lower else self.raw, self.starts, self.ends)
 
-    def windows(self, hashes: np.ndarray, n: int, whole_if_fewer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of n words in a row, first word of each, offsets by text). A text of fewer words is one window or none."""
+    def windows(self, n: int, whole_if_fewer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words of n in a row, ends, offsets by text). A text of fewer words is one window or none."""
         count = np.diff(self.offsets)
         many = np.maximum(count - n + 1, 0)
         if whole_if_fewer:
             many = np.where((count > 0) & (count < n), 1, many)
         starts = pretok.ragged(self.offsets[:-1], many)
-        of = np.repeat(np.arange(len(count)), many)
-        ends = np.minimum(starts + n, self.offsets[1:][of])
-        offsets = np.concatenate([[0], np.cumsum(many)])
-        return (pretok.range_hashes(hashes, starts, ends) if len(starts) else np.zeros(0, np.uint64)), starts, offsets
+        ends = np.minimum(starts + n, np.repeat(self.offsets[1:], many))
+        return starts, ends, np.concatenate([[0], np.cumsum(many)])
+
+
+def codes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct n-word shingles (A-Z lower-cased) of each text, ascending, and offsets by text.
+
+    Two shingles have the same number if and only if they are the same words; numbers hold for these texts alone.
+    """
+    words = Words(texts)
+    starts, ends, offsets = words.windows(n, whole_if_fewer=True)
+    own, _ = pretok.distinct(words.distinct(lower=True)[0], starts, ends)
+    top = int(own.max(initial=0)) + 1
+    both = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * top + own)
+    return both % top, np.searchsorted(both, np.arange(len(texts) + 1) * top)
+
 
+def sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit hashes (two numbers) of the distinct n-word shingles of each text, ascending, and offsets by text.
 
-def sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of n-word shingles (A-Z lower-cased), ascending within each text, and offsets by text."""
+    A shingle's hash mixes the BLAKE2 digests of its words, each digest taken once a batch.
+    """
     words = Words(texts)
-    hashes, _, offsets = words.windows(words.hashes(lower=True), n, whole_if_fewer=True)
+    code, first = words.distinct(lower=True)
+    raw = LOWER[words.raw].tobytes()
+    digests = np.frombuffer(b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)), np.uint64).reshape(-1, 2)
+    starts, ends, offsets = words.windows(n, whole_if_fewer=True)
+    size = ends - starts
+    high, low = size.astype(np.uint64), ~size.astype(np.uint64)
+    for k in range(n):
+        inside = slice(None) if (size > k).all() else np.flatnonzero(size > k)
+        own = digests[code[starts[inside] + k]]
+        a, b = high[inside], low[inside]
+        a, b = (a ^ own[:, 0]) * np.uint64(0x9E3779B97F4A7C15) + b, (b ^ own[:, 1]) * np.uint64(0xD6E8FEB86659FD93) + a
+        high[inside], low[inside] = pretok.mix(a), pretok.mix(b)
     for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        hashes[s:e].sort()
-    if not len(hashes):
-        return hashes, offsets
-    keep = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    keep[offsets[:-1][np.diff(offsets) > 0]] = True
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return hashes[keep], before[offsets]
+        order = np.argsort(high[s:e])
+        high[s:e], low[s:e] = high[s:e][order], low[s:e][order]
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    same = np.concatenate([[False], (high[1:] == high[:-1]) & (text[1:] == text[:-1])])[: len(high)]
+    if (same[1:] & (low[1:] != low[:-1])).any():
+        order = np.lexsort((low, high, text))
+        high, low = high[order], low[order]
+    keep = ~same
+    keep[1:] |= low[1:] != low[:-1]
+    return high[keep], low[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]

@@ -99,5 +99,32 @@ def test_estimate_is_near_the_similarity():
 
 def test_sets_are_those_of_plain_words():
     texts = [t for _, t, _ in util.AWKWARD]
-    hashes, offsets = words.sets([t or "" for t in texts], 4)
-    assert np.diff(offsets).tolist() == [len(shingles(t, 4)) for t in texts]
+    high, low, offsets = words.sets([t or "" for t in texts], 4)
+    numbers, edges = words.codes([t or "" for t in texts], 4)
+    expected = [shingles(t, 4) for t in texts]
+    assert np.diff(offsets).tolist() == np.diff(edges).tolist() == [len(x) for x in expected]
+    alone = [words.sets([t or ""], 4)[:2] for t in texts]  # hashes don't depend on what else is in the batch
+    assert (np.concatenate([a for a, _ in alone]) == high).all() and (np.concatenate([b for _, b in alone]) == low).all()
+    for own in (list(zip(high.tolist(), low.tolist(), strict=True)), numbers.tolist()):
+        found = [set(own[s:e]) for s, e in zip(offsets, offsets[1:], strict=False)]
+        for i, a in enumerate(expected):
+            assert [len(found[i] & b) for b in found] == [len(a & b) for b in expected]
+
+
+def test_words_that_polynomial_hashes_confuse_are_told_apart(spark):
+    got = {r.id: r for r in near_dup.clusters(util.awkward(spark), p=near_dup.CONTRACT).collect()}
+    assert all(got[k].component == k and got[k].kept for k in range(9, 15))
+
+
+def test_ranges_with_equal_hashes_are_told_apart(monkeypatch):
+    from codestrata.llm import pretok
+
+    random.seed(8)
+    for modulus in (1, 2, 7):
+        monkeypatch.setattr(pretok, "range_hashes", lambda v, s, e, m=modulus: (np.add.reduceat(v, s) % m).astype(np.uint64))
+        for _ in range(50):
+            ranges = [[random.randint(0, 2) for _ in range(random.randint(1, 4))] for _ in range(random.randint(1, 30))]
+            ends = np.cumsum([len(r) for r in ranges])
+            code, first = pretok.distinct(np.array([x for r in ranges for x in r], np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+            assert [[a == b for b in ranges] for a in ranges] == (code[:, None] == code).tolist()
+            assert (code[first] == np.arange(len(first))).all()

@@ -173,7 +173,7 @@ def test_statistics_of_a_part_are_those_of_its_texts():
     for hashed in (False, True):
         whole = Stats(texts)
         if hashed:
-            whole.hashes()
+            whole.codes()
         part, alone = whole.take(keep), Stats([t for t, k in zip(texts, keep, strict=True) if k])
         for name in (*rules.METRICS, "n_lines", "n_chars", "n_distinct_words", "squared_lengths"):
             assert (getattr(part, name)() == getattr(alone, name)()).all()

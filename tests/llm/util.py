@@ -1,5 +1,14 @@
 """Awkward documents, and a plain reading of the documents table."""
 
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: polynomial hashes modulo a power of two take them for the same."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+SHORT, LONG = thue_morse(1024), thue_morse(2048)
 AWKWARD = [
     (1, "", "x"),
     (2, None, "x"),
@@ -11,6 +20,9 @@ AWKWARD = [
     (6, "w" * 3000, "x"),
     (7, "ab cd. " * 4000, "x"),
     (8, "ONE Two", "x"),
+    *((9 + k, word, "x") for k, word in enumerate((*SHORT, *LONG))),
+    (13, "\n".join((*SHORT, *LONG)), "x"),
+    (14, " ".join([*SHORT] * 4), "x"),
 ]
 COLUMNS = "doc_id long, text string, lang string"
 
