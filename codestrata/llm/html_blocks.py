@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 #: Names of the HTML standard, by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe noembed noframes xmp".split())
-ESCAPABLE = {"title", "textarea"}
-BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav object ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+RAW = set("script style noscript template iframe".split())
+ESCAPABLE, PLAIN = {"title", "textarea"}, {"xmp"}
+BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes object ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul xmp".split())
 CLOSES_P = BLOCK - set("body button caption head html legend object option select tbody td textarea tfoot th thead title tr".split())
 BARRIERS = set("button caption object table td th template marquee applet html".split())
 #: What a new element of this name ends, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, {"html"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+#: A quote opens a value only after an equals sign, and only if it is closed somewhere; else the tag ends at the next ``>``.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)", re.S)
 ATTRIBUTES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I | re.S)
 LETTERS = re.compile("[a-z]+")
 
@@ -70,9 +71,9 @@ class _Page:
     def last(self, tags) -> int:
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
-    def text(self, raw: str) -> None:
+    def text(self, raw: str, plain: bool = False) -> None:
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if "&" in raw and not plain else raw
             self.parts.append(text)
             if self.around.get("a"):
                 self.linked.append(text)
@@ -104,7 +105,10 @@ class _Page:
 
 
 def blocks(source: str) -> list[Block]:
-    """The page's leaf blocks in order, whatever they are; text of scripts, styles and comments is in none."""
+    """The page's leaf blocks in order, whatever they are; text of scripts, styles and comments is in none.
+
+    What stands in for frames and embedded objects is read as text, as by a reader that shows neither.
+    """
     page, at, n = _Page(), 0, len(source)
     while at < n:
         found = TOKEN.search(source, at)
@@ -120,7 +124,7 @@ def blocks(source: str) -> list[Block]:
         if found[1]:
             page.end(tag)
             continue
-        if tag in RAW or tag in ESCAPABLE:
+        if tag in RAW or tag in ESCAPABLE or tag in PLAIN:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             body, at = (source[at : close.start()], close.start()) if close else (source[at:], n)
             if tag in RAW:
@@ -128,7 +132,7 @@ def blocks(source: str) -> list[Block]:
                 page.parts.append(" ") if tag == "noscript" else None
             else:
                 page.start(tag, found[3])
-                page.text(body)
+                page.text(body, tag in PLAIN)
                 page.end(tag)
             continue
         page.start(tag, found[3])

@@ -50,7 +50,8 @@ def blob_of(text: Column) -> Column:
 def spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, version, start, end) of rows (blob, text, kinds): each kind's matches, leftmost and not overlapping.
 
-    kinds lists what to look for in the row. Positions are code points, end exclusive; null texts have no match.
+    kinds lists what to look for in the row. Positions are code points, end exclusive; null texts have no match. A blob
+    may come in several rows, with the same text and kinds: it counts once.
     """
 
     def matches(rule: Rule) -> Column:
@@ -63,6 +64,7 @@ def spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.when(F.array_contains("kinds", rule.kind) & F.col("text").rlike(rule.pattern), own).otherwise(F.array().cast("array<struct<kind:string,version:int,at:int,gap:bigint,size:bigint,holds:boolean>>"))
 
     rows = blobs.select("blob", F.inline(F.concat(*(matches(r) for r in rules))))
+    rows = rows.repartition("blob", "kind").dropDuplicates(["blob", "kind", "at"])
     before = Window.partitionBy("blob", "kind").orderBy("at")
     end = F.sum(F.col("gap") + F.col("size")).over(before)
     return rows.select("blob", "kind", "version", "holds", (end - F.col("size")).cast("int").alias("start"), end.cast("int").alias("end")).where("holds").drop("holds")
@@ -94,7 +96,10 @@ class Ledger:
         return todo.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))
 
     def update(self, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Scans one copy of each blob for what was not seen, then adds the findings, and last the pairs as seen."""
+        """Scans one copy of each blob for what was not seen, then adds the findings, and last the pairs as seen.
+
+        Ids may be null or repeated, and rows too; null texts are the empty blob; an empty history adds nothing.
+        """
         rows = common.pick(history, id=id_col, text=text_col).withColumn("blob", blob_of(F.col("text")))
         todo = self.unseen(history, id_col, text_col)
         # The row that stands for a blob; the join moves each text once and sorts none.
@@ -113,7 +118,10 @@ class Ledger:
         return self.findings(spark).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", F.element_at(order, F.col("kind")).alias("order"), "end", "kind"))).alias("spans"))
 
     def report(self, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, blob, spans) for every row of history; rows without findings have an empty list."""
+        """(id, blob, spans) for every row of history, repeated ones and those with null ids too.
+
+        Rows without findings, and null texts, have an empty list.
+        """
         spark = history.sparkSession
         rows = common.pick(history, id=id_col, text=text_col).select("id", blob_of(F.col("text")).alias("blob"))
         found = self.by_blob(spark)
@@ -121,24 +129,31 @@ class Ledger:
         return rows.join(found, "blob", "left").select("id", "blob", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
     def redact(self, history: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-        """All of history's columns, with the spans of the findings replaced by the mark; overlapping ones by one mark."""
-        found = self.by_blob(history.sparkSession).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-        text = F.col(f"`{text_col}`")
+        """All of history's columns, with the spans of the findings replaced by the mark; overlapping ones by one mark.
+
+        Repeated rows are redacted alike; null texts stay null. Columns may have any names, each but once.
+        """
+        names = history.columns
+        inner = history.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text_col}`").alias("text"))
         # A span that begins after all former ones end starts a new gap.
         merged = F.aggregate(
-            "__spans",
+            "spans",
             F.array().cast("array<struct<start:int,end:int>>"),
             lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
         )
-        ends = F.concat(F.array(F.lit(0)), F.transform(F.col("__merged"), lambda s: s["end"]))
-        starts = F.concat(F.transform(F.col("__merged"), lambda s: s["start"]), F.array(F.char_length(text)))
-        kept = F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(text, e + 1, s - e)), mark)
-        joined = history.withColumn("__blob", blob_of(text)).join(found, "__blob", "left").withColumn("__merged", merged)
-        return joined.withColumn(text_col, F.when(F.col("__merged").isNull(), text).otherwise(kept)).select(*(f"`{c}`" for c in history.columns))
+        ends = F.concat(F.array(F.lit(0)), F.transform("merged", lambda s: s["end"]))
+        starts = F.concat(F.transform("merged", lambda s: s["start"]), F.array(F.char_length("text")))
+        kept = F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(F.col("text"), e + 1, s - e)), mark)
+        joined = inner.withColumn("blob", blob_of(F.col("text"))).join(self.by_blob(history.sparkSession), "blob", "left").withColumn("merged", merged)
+        redacted = F.when(F.col("merged").isNull(), F.col("text")).otherwise(kept)
+        return joined.select(*((redacted if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)))
 
 
 def scan(documents: DataFrame, ledger_path: str | None = None) -> DataFrame:
-    """The contract's columns; without a ledger's path a new one in the shared folder begins empty."""
+    """The contract's columns, a row for each row; without a ledger's path a new one in the shared folder begins empty.
+
+    Repeated rows, null ids and copies of a text have the same spans as any other row; null texts have none.
+    """
     ledger = Ledger(ledger_path or common.shared_dir(documents.sparkSession))
     ledger.update(documents)
     report = ledger.report(documents)

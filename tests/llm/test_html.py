@@ -21,6 +21,12 @@ PAGES = {
     "<script>never ends <p>x": [],
     "<!-- never ends <p>x": [],
     "<p": [],
+    '<p class="x>Hello</p>': ["Hello"],
+    "<p class='x>Hello</p><p>there": ["Hello", "there"],
+    "<p title=it's>Don't</p>": ["Don't"],
+    '<p class = "a>b" id=\'c">d\'>x "y" </p>': ['x "y"'],
+    "one<xmp><b>two</b> &amp;</xmp>three": ["one", "<b>two</b> &amp;", "three"],
+    "<p>a<noembed> b </noembed>c</p><noframes><p>d</p></noframes>e": ["a b c", "d", "e"],
     "": [],
     "<dl><dt>a<dd>b<dt>c</dl>": ["a", "b", "c"],
     "<P>A\n\t  B</P>": ["A B"],
@@ -43,6 +49,8 @@ def test_deep_and_long_pages_take_linear_time():
     assert len(blocks("<div>" * 20_000 + "x" + "</div>" * 20_000)) == 1
     assert len(blocks("<p>a" * 20_000)) == 20_000
     assert len(blocks("<" * 50_000)) == 1
+    assert len(blocks("<a =\"" * 20_000 + ">x")) == 1
+    assert len(blocks("<a ='>x" * 10_001)) == 1
 
 
 @pytest.fixture(scope="module")
