@@ -39,6 +39,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{of}`").alias(name) for name, of in columns.items()))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the table has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

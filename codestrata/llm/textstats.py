@@ -35,21 +35,28 @@ class Stats:
         self.words = Words(texts)
         self.n = len(texts)
         self._codes: np.ndarray | None = None
+        self._first: np.ndarray | None = None
 
     def take(self, keep: np.ndarray) -> Stats:
         """Of the texts that keep says, with what is worked out already."""
         out = Stats.__new__(Stats)
         out.words, own = self.words.take(keep)
         out.n = len(out.words.bounds) - 1
-        out._codes = None if self._codes is None else self._codes[own]
+        out._codes, out._first = None if self._codes is None else self._codes[own], None
         return out
 
     def codes(self) -> np.ndarray:
         """A number for each word, the same for equal words."""
         if self._codes is None:
-            self._codes = self.words.distinct()[0]
+            self._codes, self._first = self.words.distinct()
         return self._codes
 
+    def first_words(self) -> np.ndarray:
+        """A word of each number."""
+        if self._first is None:
+            self._codes, self._first = self.words.distinct()
+        return self._first
+
     def n_words(self) -> np.ndarray:
         return np.diff(self.words.offsets)
 

@@ -80,7 +80,7 @@ def test_run_is_the_stages_in_turn(spark, sf, stages):
 
 
 def test_awkward_rows(spark, sf):
-    rows = spark.createDataFrame([(r[0], r[1], r[2], "s", 1, "x") for r in util.AWKWARD], "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    rows = spark.createDataFrame([(r[0], r[1], r[2], "s", 1, *"xyz") for r in util.AWKWARD], "doc_id long, text string, lang string, source string, n_chars long, score string, rule string, key string")
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, rows, sf).collect()
         stage(spark, rows.limit(0), sf).collect()

@@ -147,6 +147,54 @@ def test_pairwise_ranking_orders_by_the_preferred_feature():
     assert (model.score(x) >= 0.5).sum() == good.sum()  # the threshold is that quantile
 
 
+def test_weights_are_those_of_an_independent_descent():
+    random_ = np.random.default_rng(2)
+    z, good = np.clip(random_.normal(size=(120, 5)), -6, 6), random_.random(120) < 0.4
+    up, down = quality.pairs_of(good, 3)
+    assert good[up].all() and not good[down].any()
+    w = np.zeros(5)
+    for _ in range(20_000):  # plain gradient descent on the differences themselves
+        d = z[up] - z[down]
+        w -= 0.3 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + quality.RIDGE * w)
+    assert np.allclose(quality.pairwise(z, up, down), w, atol=1e-5)
+
+
+def plain_features(text):
+    """The features by counting in plain Python."""
+    words = WORD.findall(text)
+    n, chars, symbols, dup, repeated = plain_metrics(text)
+    lines = max(sum(bool(WORD.search(x)) for x in text.split("\n")), 1)
+    w, c = max(n, 1), max(len(text), 1)
+    sizes = [len(x.encode()) for x in words]
+    among = lambda some: sum(b in some for b in text.encode())
+    upper, lower = among(range(65, 91)), among(range(97, 123))
+    mean = chars / w
+    dense = [np.log1p(n), float(n == 0), min(n, 40) / 40, mean, np.sqrt(max(sum(x * x for x in sizes) / w - mean**2, 0)), np.sqrt(symbols / w), symbols / c]
+    dense += [upper / max(upper + lower, 1), *(np.sqrt(among(x) / w) for x in (b"!", b"|")), np.sqrt(among(b"0123456789") / c), *(np.sqrt(among(x) / w) for x in (b".", b",;:"))]
+    dense += [np.log1p(lines), np.log(w / lines), dup / lines, repeated / w, len(set(words)) / w, np.log1p(len(set(words)))]
+    return [*dense, np.sqrt(among(b"@/_=+()[]{}\\\"'") / w), among(range(128, 256)) / c]
+
+
+def test_features_are_the_plain_counts():
+    texts = random_texts(11, 80) + [t or "" for _, t, _ in util.AWKWARD]
+    got = quality.features(texts)
+    assert np.allclose(got[:, : -2 * quality.BUCKETS], np.array([plain_features(t) for t in texts]))
+    alone = np.concatenate([quality.features([t]) for t in texts])
+    assert np.allclose(got, alone) and np.isfinite(got).all()
+    low = [quality.features([t])[:, -2 * quality.BUCKETS :] for t in ("a b a", "A B A", "b a a")]
+    assert np.allclose(low[0], low[1]) and np.allclose(low[0][:, : quality.BUCKETS], low[2][:, : quality.BUCKETS])
+    assert not np.allclose(low[0], low[2])  # pairs of words tell the order
+
+
+def test_words_alone_can_tell_the_labels():
+    random.seed(12)
+    good = np.arange(300) % 2 == 0
+    pick = lambda own: " ".join(random.choice(own) for _ in range(30))
+    texts = [pick(["lake", "tree", "bird", "moon"]) if g else pick(["cash", "prix", "sale", "shop"]) for g in good]
+    model = quality.fit(quality.features(texts[:200]), good[:200])
+    assert ((model.score(quality.features(texts[200:])) >= 0.5) == good[200:]).mean() > 0.97
+
+
 def test_a_clashing_score_column_is_an_error(spark):
     model = quality.fit(quality.features([""]), np.ones(1, bool))
     with pytest.raises(ValueError):
