@@ -13,30 +13,45 @@ from codestrata.llm import common, near_dup, packing, quality, rules, secrets
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches one half; learnt from the labels that are not held out."""
-    model = quality.learn(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="__score").where("__score >= 0.5").drop("__score")
+    """Documents whose score reaches one half; learnt from the labels that are not held out.
+
+    Null and empty texts are scored like any other, repeated rows stay or go together, ids may be null. Without labels
+    of both kinds, or without documents, all rows stay. Columns may have any names.
+    """
+    model, score = quality.learn(docs, common.table(spark, sf_dir, "labels")), common.unused(docs, "score")
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return rules.judge(docs, rule_col="__rule").where("__rule is null").drop("__rule")
+    """Documents that no rule rejects.
+
+    Null and empty texts have no words and go; repeated rows stay or go together, ids may be null; an empty table stays
+    empty. Columns may have any names.
+    """
+    rule = common.unused(docs, "rule")
+    return rules.judge(docs, rule_col=rule).where(F.col(rule).isNull()).select(docs.columns)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id, once.
 
     A row is known by its id and its text, as ids may be repeated with other texts. Rows without an id come after all
-    others of their group; of equal ids, the text of the least hash stays.
+    others of their group; of equal ids, the text of the least hash stays. Null and empty texts are near to nothing:
+    they stay, those of one id once. An empty table stays empty; other columns may have any names.
     """
+    key = common.unused(docs, "key")
     own = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = docs.withColumn("__key", own)
-    kept = near_dup.clusters(rows, id_col="__key").where("kept").select(F.col("id").alias("__key")).distinct()
-    return rows.join(kept, "__key").dropDuplicates(["__key"]).select(docs.columns)
+    rows = docs.withColumn(key, own)
+    kept = near_dup.clusters(rows, id_col=key).where("kept").select(F.col("id").alias(key)).distinct()
+    return rows.join(kept, key).dropDuplicates([key]).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text.
+
+    Repeated rows and copies are treated alike, ids may be null; null texts stay null, with an n_chars of null. An empty
+    table stays empty; other columns may have any names.
+    """
     ledger = secrets.Ledger(common.shared_dir(spark))
     ledger.update(docs)
     out = ledger.redact(docs)
@@ -44,7 +59,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences.
+
+    Null and empty texts are an end mark alone; repeated rows are packed as often as they come, ids may be null; an
+    empty table gives no pieces. Other columns are not read.
+    """
     return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
 
 
