@@ -8,8 +8,11 @@
 3. In a group, registers give a collision-corrected estimate of each Jaccard similarity. A class stays if its estimate
    with some other one is not below the threshold by more than chance explains (one in 10**9).
 4. The classes that stay are compared on their full sets, read from the texts again. A task emits the links of a
-   spanning forest of its group only. Groups of more than ``block`` classes, or of more shingles than ``block_shingles``,
-   are cut into blocks, and each pair of blocks is a task's work, so that no task holds a group of any size.
+   spanning forest of its group only. A group of more than ``block`` classes, or of more shingles than
+   ``block_shingles``, is cut into blocks, so that no task holds a group of any size. Each block also gets a few pivots
+   of its group. Classes that its links connect with the group's anchor, the pivot most like the others, are one
+   component and need not meet again: only the others meet all of the group, block by block. So a large group of near
+   copies is read a few times, not once a block.
 5. Connected components by alternating stars, with the links in the shared folder after each round.
 
 A link is missed if no band agrees: with 40 bands of 5 registers about 1 in 10**7 at a similarity of 0.8, less above.
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from codestrata.llm import common, pretok, words
 
 EMPTY = 0xFFFF
+#: Groups in blocks whose list is broadcast, at most; more are joined by shuffling.
+BROADCAST_GROUPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,7 @@ class Params:
     mantissa: int = 10
     block: int = 1024
     block_shingles: int = 2_000_000
+    pivots: int = 16  # of a group in blocks, about
 
     @property
     def registers(self) -> int:
@@ -159,7 +165,7 @@ def _estimated(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Reco
             if len(at) and (hit := at[may_link(regs[k], regs[at], p)]).size:
                 stays[k] = stays[hit] = True
         if stays.any():
-            yield group.select([*GROUP, "key"]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
+            yield group.select([*GROUP, "key", "first"]).filter(pa.array(stays)).combine_chunks().to_batches()[0]
 
 
 def linked(codes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
@@ -202,6 +208,15 @@ def linked(codes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
     return root
 
 
+@common.tidy
+def _anchors(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Of each group's pivots the one that most others may be linked with."""
+    for group in _runs(batches, ["leader"]):
+        regs = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, p.registers)
+        near = [int(may_link(r, regs, p).sum()) for r in regs]
+        yield pa.record_batch([group["leader"].slice(0, 1).combine_chunks(), group["key"].slice(int(np.argmax(near)), 1).combine_chunks()], names=["leader", "anchor"])
+
+
 @common.tidy
 def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Links of each group's members with the first of their component."""
@@ -213,7 +228,7 @@ def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         moved = np.flatnonzero(root != np.arange(len(root))).tolist()
         if moved:
             pairs = [sorted((keys[k], keys[root[k]])) for k in moved]
-            yield pa.record_batch([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+            yield pa.record_batch([pa.array([group["leader"][0].as_py()] * len(pairs), pa.binary()), pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["leader", "a", "b"])
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -265,21 +280,7 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
     leaders = bands.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     members = common.written(bands.join(leaders, "band").select("leader", "key", "n_shingles").distinct())
 
-    blocks = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n_shingles") / p.block_shingles)).cast("int")
-    size = members.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1")
-    dealt = members.join(size, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")
-    sketched = dealt.join(classes.select("key", "n_shingles", "registers"), "key").select(*GROUP, "own", "key", "n_shingles", "registers")
-    stays = sketched.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(functools.partial(_estimated, p=p), "leader binary, i int, j int, key binary")
-    stays = common.written(stays)
-
-    ones = stays.select("key").distinct().join(classes.select("key", "one"), "key").select("key", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
-    found = rows.join(ones.hint("shuffle_hash"), (rows["text_hash"] == ones["one_hash"]) & rows["id"].eqNullSafe(ones["one_id"])).select("key", "text")
-    # Other texts with the row's id and hash are left out by the key, and repeated rows by the grouping.
-    found = found.mapInArrow(functools.partial(_of_class, p=p), "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
-    full = stays.join(found, "key").select(*GROUP, "key", "text")
-    links = full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(functools.partial(_verified, p=p), "a binary, b binary")
+    links = _links(rows, classes, members, p)
     roots = components(links)
 
     named = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -290,6 +291,58 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
     return out.select("id", "n_shingles", component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
 
 
+def _checked(dealt: DataFrame, rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """Links (leader, a, b) inside the groups of dealt (leader, i, j, own, key, first), written."""
+    sketched = dealt.join(classes.select("key", "n_shingles", "registers"), "key").select(*GROUP, "own", "key", "first", "n_shingles", "registers")
+    stays = common.written(sketched.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(functools.partial(_estimated, p=p), "leader binary, i int, j int, key binary, first boolean"))
+    ones = stays.select("key").distinct().join(classes.select("key", "one"), "key").select("key", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+    found = rows.join(ones.hint("shuffle_hash"), (rows["text_hash"] == ones["one_hash"]) & rows["id"].eqNullSafe(ones["one_id"])).select("key", "text")
+    # Other texts with the row's id and hash are left out by the key, and repeated rows by the grouping.
+    found = found.mapInArrow(functools.partial(_of_class, p=p), "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
+    full = stays.join(found, "key").select(*GROUP, "key", "first", "text")
+    full = full.repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("first")).mapInArrow(functools.partial(_verified, p=p), "leader binary, a binary, b binary")
+    return common.written(full)
+
+
+def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) that connect what the groups' links connect. members: (leader, key, n_shingles)."""
+    parts = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n_shingles") / p.block_shingles)).cast("int")
+    size = common.written(members.groupBy("leader").agg(parts.alias("blocks"), F.count("*").alias("n")).where("blocks > 1"))
+    groups = size.count()
+    small = F.broadcast if groups <= BROADCAST_GROUPS else (lambda df: df)
+    no = F.lit(False)
+    dealt = members.join(small(size.select("leader")), "leader", "left_anti").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "key", no.alias("first"))
+    if not groups:
+        return _checked(dealt, rows, classes, p).select("a", "b")
+
+    part = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
+    big = members.join(small(size), "leader").withColumn("own", part("blocks"))
+    pivots = big.where((F.pmod(F.xxhash64("key", F.lit(1)), F.col("n")) < p.pivots) | (F.col("key") == F.col("leader")))
+    sketched = pivots.join(classes.select("key", "registers"), "key").select("leader", "key", "registers")
+    anchors = common.written(sketched.repartition("leader").sortWithinPartitions("leader", "key").mapInArrow(functools.partial(_anchors, p=p), "leader binary, anchor binary"))
+    spread = pivots.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")).where("at <> own").select("leader", "key", "at")
+    blocks = big.select("leader", "key", F.col("own").alias("at")).unionByName(spread).join(small(anchors), "leader")
+    dealt = dealt.unionByName(blocks.select("leader", F.col("at").alias("i"), F.col("at").alias("j"), F.col("at").alias("own"), "key", (F.col("key") == F.col("anchor")).alias("first")))
+    inside = _checked(dealt, rows, classes, p)
+
+    to_anchor = inside.join(small(anchors), "leader").where("anchor in (a, b)")
+    held = to_anchor.select("leader", F.when(F.col("a") == F.col("anchor"), F.col("b")).otherwise(F.col("a")).alias("key"))
+    held = held.unionByName(anchors.withColumnRenamed("anchor", "key")).distinct().withColumn("held", F.lit(True))
+    told = common.written(members.join(small(size.select("leader")), "leader").join(held, ["leader", "key"], "left").withColumn("held", F.coalesce("held", no)))
+    count = told.groupBy("leader", "held").agg(parts.alias("blocks"))
+    left = common.written(count.where("not held").select("leader", F.col("blocks").alias("u")).join(count.where("held").select("leader", F.col("blocks").alias("h")), "leader"))
+    if left.isEmpty():
+        return inside.select("a", "b")
+    told = told.join(small(left), "leader")
+    free = told.where("not held").withColumn("own", part("u"))
+    # Blocks of what the anchor doesn't hold meet each other, and each block of what it holds.
+    among = free.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("other")).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")
+    across = free.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("q")).select("leader", F.col("own").alias("i"), (-1 - F.col("q")).alias("j"), "own", "key")
+    met = told.where("held").withColumn("q", part("h")).select("leader", "key", "q", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("i")).select("leader", "i", (-1 - F.col("q")).alias("j"), F.lit(-1).alias("own"), "key")
+    between = _checked(among.unionByName(across).unionByName(met).withColumn("first", no), rows, classes, p)
+    return inside.select("a", "b").union(between.select("a", "b"))
+
+
 @common.tidy
 def _of_class(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -47,10 +47,10 @@ def copies(seed, groups=6, size=25):
     return rows
 
 
-@pytest.mark.parametrize("seed, block, shingles", [(1, 1024, 2_000_000), (2, 4, 2_000_000), (3, 1024, 300)])
-def test_components_are_those_of_all_pairs(spark, seed, block, shingles):
+@pytest.mark.parametrize("seed, block, shingles, pivots", [(1, 1024, 2_000_000, 16), (2, 4, 2_000_000, 2), (3, 1024, 300, 16), (4, 3, 2_000_000, 0)])
+def test_components_are_those_of_all_pairs(spark, seed, block, shingles, pivots):
     rows = copies(seed)
-    got = near_dup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), p=near_dup.Params(shingle=4, block=block, block_shingles=shingles)).collect()
+    got = near_dup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), p=near_dup.Params(shingle=4, block=block, block_shingles=shingles, pivots=pivots)).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
