@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,15 +66,32 @@ def slices(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.RecordBa
         yield batch.slice(begin)
 
 
+#: Folders that this process has written.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder; a local one is set only where none is."""
+    """A new folder's name under spark.checkpoint.dir.
+
+    Where that is unset a session on this machine alone gets a local folder; on a cluster it is an error, as executors
+    don't share local folders.
+    """
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         base = "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _OWN.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _OWN[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written: for when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _OWN:
+        path = jvm.org.apache.hadoop.fs.Path(_OWN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm import common, pretok, vocab
+from codestrata.llm import common, pretok, token_counts, vocab
 
 
 @dataclass(frozen=True)
@@ -219,6 +219,18 @@ def place_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, l
     return packed.unionByName(rows.where("reason is not null").select("id", F.col("tokens").cast("long").alias("length"), none.alias("sequence_id"), none.alias("offset"), "reason"))
 
 
+def conversation_examples(conversations: DataFrame, assistant: str = "assistant", vocab_path: str | None = None) -> DataFrame:
+    """(conv_id, tokens, loss): the tokens of each conversation's turns, and of those that the assistant says.
+
+    Turns of null texts have no tokens; a null role bears no loss; turns without a conv_id form one conversation.
+    """
+    rows = common.pick(conversations, conv_id="conv_id", role="role", text="text")
+    rows = rows.select(F.struct("conv_id", (F.coalesce("role", F.lit("")) == assistant).alias("said")).alias("turn"), "text")
+    counted = token_counts.count_tokens(rows, id_col="turn", vocab_path=vocab_path)
+    said = F.when(F.col("id.said"), F.col("n_tokens")).otherwise(0)
+    return counted.groupBy(F.col("id.conv_id").alias("conv_id")).agg(F.sum("n_tokens").alias("tokens"), F.sum(said).alias("loss"))
+
+
 def pieces(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
     return pack_documents(documents).select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -150,7 +150,11 @@ def _metrics(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iter
 
 
 def contract(documents: DataFrame) -> DataFrame:
-    """The contract's columns: base metrics of every row, and the cascade's verdict on what the base leaves."""
+    """The contract's columns: base metrics of every row, and the cascade's verdict on what the base leaves.
+
+    The metrics are results, so they are worked out for every row whatever the verdict: the order of the rules spares
+    only what they need besides. ``judge`` is the cascade that spares the metrics too.
+    """
     rows = common.pick(documents, doc_id="doc_id", text="text")
     rules = ordered(rows, RULES)
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -178,3 +178,43 @@ def test_examples_that_fit_nowhere_have_rows_with_a_reason(spark):
     assert sorted((r.id or 0, r.reason) for r in got if r.reason) == [(1, "tokens"), (2, "empty"), (3, "empty"), (4, "loss")]
     assert all((r.sequence_id is None) == (r.offset is None) == (r.reason is not None) for r in got)
     assert sorted(r.id or 0 for r in got if r.reason is None) == [0, 5, 6, 7]
+
+
+def test_conversations_are_packed_by_three_limits(spark, sf, library):
+    table = spark.read.parquet(f"{sf.replace("sf0.001", "sf0.01")}/conversations.parquet")
+    turns = [(r.conv_id, r.role, r.text) for r in table.collect()] + [(-1, None, "no one says this"), (-1, "assistant", None), (-2, "assistant", "word " * 4000)]
+    rows = spark.createDataFrame([(c, r, t, "x") for c, r, t in turns], "conv_id long, role string, text string, n_tokens string")
+    expected = {}
+    for conv, role, text in turns:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        tokens, loss = expected.get(conv, (0, 0))
+        expected[conv] = tokens + n, loss + n * (role == "assistant")
+    examples = packing.conversation_examples(rows)
+    assert {r.conv_id: (r.tokens, r.loss) for r in examples.collect()} == expected
+    limits = packing.Limits(4096, 8, 1500)
+    placed = packing.place_examples(examples, "conv_id", "tokens", "loss", limits).collect()
+    assert sorted(r.id for r in placed) == sorted(expected) and [r.reason for r in placed if r.id == -2] == ["loss"]
+    sequences = {}
+    for r in placed:
+        if r.reason is None:
+            assert r.length == expected[r.id][0]
+            sequences.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in own), len(own), sum(expected[r.id][1] for r in own)) for own in sequences.values()]
+    assert all(a <= 4096 and b <= 8 and c <= 1500 for a, b, c in sums)
+    assert any(own[0] != own[1] for own in expected.values())
+    assert any(c > 1200 and a < 3500 and b < 8 for a, b, c in sums)  # the loss limit alone fills some
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch):
+    from codestrata.llm import common
+
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf = {}
+        sparkContext = Cluster()
+
+    with pytest.raises(ValueError, match="shares"):
+        common.shared_dir(Session())
