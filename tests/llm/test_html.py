@@ -65,6 +65,25 @@ def test_held_out_pages(model):
     assert np.mean(right) > 0.985
 
 
+A = "The river rose slowly during the night, and by morning the lower fields were under water."
+B = "Nobody in the village had seen such a flood before, although the old books speak of three."
+C = "Repairs will take until spring, the council said, if the weather allows it."
+H = "A flood in the valley"
+OTHER_LAYOUTS = {
+    "table": (f"<html><body bgcolor=white><table><tr><td colspan=2><a href=/>Home</a> | <a href=/news>News</a> | <a href=/about>About</a></td></tr><tr><td width=150><a href=1>One</a><br><a href=2>Two</a></td><td><h2>{H}</h2><p>{A}<p>{B}<p>{C}</td></tr><tr><td colspan=2>Copyright 2001 Valley News</td></tr></table></body></html>", [H, A, B, C]),
+    "role": (f"<body><div role=banner><h1>Valley News</h1></div><div role=navigation><ul><li><a href=a>World</a><li><a href=b>Sport</a></ul></div><div role=main><h1>{H}</h1><div><p>{A}</p><p>{B}</p></div><ul><li>{C}</li></ul></div><div role=contentinfo>Contact us</div></body>", [H, A, B, C]),
+    "deep": (f"<div id=wrapper><div class=top-nav><a href=1>Log in</a> <a href=2>Sign up</a></div><div class=columns><div class=column-left><section><header><h1>{H}</h1></header><p>{A}</p><figure><img src=x><figcaption>The river on Sunday.</figcaption></figure><p>{B}</p><blockquote>{C}</blockquote></section><ol class=commentlist><li>First!</li><li>I saw it too, it was awful.</li></ol></div><div class=column-right><h3>Most read</h3><ul><li><a href=z>Cat found</a></li></ul></div></div><div class=site-footer>All rights reserved</div></div>", [H, A, "The river on Sunday.", B, C]),
+    "cookie": (f"<body><div class=cookie-banner><p>We use cookies to improve your visit. Read our policy to learn more about it.</p><button>Accept</button></div><main><article><header><h1>{H}</h1></header><p>{A}</p><aside class=related><a href=q>Related: another flood</a></aside><p>{B}</p><p>{C}</p><footer>Tags: <a href=t>water</a></footer></article><section id=comments><h2>2 comments</h2><p>Terrible news for everyone who lives there and for the farms.</p></section></main><footer><p>&copy; Valley News</p></footer></body>", [H, A, B, C]),
+}
+
+
+@pytest.mark.parametrize("name", OTHER_LAYOUTS)
+def test_pages_that_no_rule_laid_out(model, name):
+    source, expected = OTHER_LAYOUTS[name]
+    page = blocks(source)
+    assert [b.text for b, y in zip(page, model.decode([page])[0], strict=True) if y] == expected
+
+
 def test_viterbi_finds_the_best_labels(model):
     pages = [html_crf.marked(s)[0][:9] for s in html_pages.labelled(25, seed=5)] + [[]]
     for page, got in zip(pages, model.decode(pages), strict=True):
