@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from codestrata.llm import common, pretok, words
 
 EMPTY = 0xFFFF
-#: Groups in blocks whose list is broadcast, at most; more are joined by shuffling.
-BROADCAST_GROUPS = 100_000
+#: Rows of a list of groups or classes (some 50 bytes each) that is broadcast, at most; longer ones are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -291,12 +291,18 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: P
     return out.select("id", "n_shingles", component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
 
 
-def _checked(dealt: DataFrame, rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Links (leader, a, b) inside the groups of dealt (leader, i, j, own, key, first), written."""
+def _checked(dealt: DataFrame, rows: DataFrame, classes: DataFrame, p: Params, few: bool = False) -> DataFrame:
+    """Links (leader, a, b) inside the groups of dealt (leader, i, j, own, key, first), written.
+
+    few: only some classes are expected, so that the other texts needn't be shuffled to find theirs.
+    """
     sketched = dealt.join(classes.select("key", "n_shingles", "registers"), "key").select(*GROUP, "own", "key", "first", "n_shingles", "registers")
     stays = common.written(sketched.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(functools.partial(_estimated, p=p), "leader binary, i int, j int, key binary, first boolean"))
     ones = stays.select("key").distinct().join(classes.select("key", "one"), "key").select("key", F.col("one.id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
-    found = rows.join(ones.hint("shuffle_hash"), (rows["text_hash"] == ones["one_hash"]) & rows["id"].eqNullSafe(ones["one_id"])).select("key", "text")
+    if few:
+        ones = common.written(ones)
+        few = ones.count() <= BROADCAST_ROWS
+    found = rows.join(ones.hint("broadcast" if few else "shuffle_hash"), (rows["text_hash"] == ones["one_hash"]) & rows["id"].eqNullSafe(ones["one_id"])).select("key", "text")
     # Other texts with the row's id and hash are left out by the key, and repeated rows by the grouping.
     found = found.mapInArrow(functools.partial(_of_class, p=p), "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
     full = stays.join(found, "key").select(*GROUP, "key", "first", "text")
@@ -309,7 +315,7 @@ def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, p: Params) -
     parts = F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n_shingles") / p.block_shingles)).cast("int")
     size = common.written(members.groupBy("leader").agg(parts.alias("blocks"), F.count("*").alias("n")).where("blocks > 1"))
     groups = size.count()
-    small = F.broadcast if groups <= BROADCAST_GROUPS else (lambda df: df)
+    small = F.broadcast if groups <= BROADCAST_ROWS else (lambda df: df)
     no = F.lit(False)
     dealt = members.join(small(size.select("leader")), "leader", "left_anti").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "key", no.alias("first"))
     if not groups:
@@ -339,7 +345,7 @@ def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, p: Params) -
     among = free.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("other")).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")
     across = free.select("leader", "key", "own", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("q")).select("leader", F.col("own").alias("i"), (-1 - F.col("q")).alias("j"), "own", "key")
     met = told.where("held").withColumn("q", part("h")).select("leader", "key", "q", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("i")).select("leader", "i", (-1 - F.col("q")).alias("j"), F.lit(-1).alias("own"), "key")
-    between = _checked(among.unionByName(across).unionByName(met).withColumn("first", no), rows, classes, p)
+    between = _checked(among.unionByName(across).unionByName(met).withColumn("first", no), rows, classes, p, few=True)
     return inside.select("a", "b").union(between.select("a", "b"))
 
 
