@@ -64,9 +64,7 @@ def _with(names: str, body: str) -> str:
 
 
 CONFIG = Config()
-LOOSE = resolve({"churn": {"minCoChangeCommits": 2, "maxFilesPerCommit": 6, "minCoChangeDegree": 0.08}})
-#: As LOOSE, with the operator's own limit on a commit's files.
-WHOLE = resolve({"churn": {"minCoChangeCommits": 2, "minCoChangeDegree": 0.08}})
+LOOSE = resolve({"churn": {"minCoChangeCommits": 2, "minCoChangeDegree": 0.08}})
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -157,11 +155,11 @@ def churn_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.summarize_churn(7, churn.churn(churn.in_scope(_frames(spark, sf_dir, "changes")[0], CONFIG)))
 
 
-_PAIRS_SQL = "+h AS (SELECT commit, file FROM (SELECT DISTINCT commit, file, count(*) OVER (PARTITION BY commit) AS n FROM (SELECT DISTINCT commit, file FROM changes)) WHERE n BETWEEN 2 AND 6), n AS (SELECT file, count(*) AS n FROM h GROUP BY file HAVING count(*) >= 2), pairs AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS together, na.n AS commits_a, nb.n AS commits_b, round(count(*) / least(na.n, nb.n), 6) AS degree FROM h a JOIN h b ON a.commit = b.commit AND a.file < b.file JOIN n na ON na.file = a.file JOIN n nb ON nb.file = b.file GROUP BY a.file, b.file, na.n, nb.n HAVING count(*) >= 2 AND count(*) / least(na.n, nb.n) >= 0.08) "
+_PAIRS_SQL = "+h AS (SELECT commit, file FROM (SELECT DISTINCT commit, file, count(*) OVER (PARTITION BY commit) AS n FROM (SELECT DISTINCT commit, file FROM changes)) WHERE n BETWEEN 2 AND 20), n AS (SELECT file, count(*) AS n FROM h GROUP BY file HAVING count(*) >= 2), pairs AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS together, na.n AS commits_a, nb.n AS commits_b, round(count(*) / least(na.n, nb.n), 6) AS degree FROM h a JOIN h b ON a.commit = b.commit AND a.file < b.file JOIN n na ON na.file = a.file JOIN n nb ON nb.file = b.file GROUP BY a.file, b.file, na.n, nb.n HAVING count(*) >= 2 AND count(*) / least(na.n, nb.n) >= 0.08) "
 
 
-def _pairs(spark: SparkSession, sf_dir: str, config: Config = LOOSE) -> DataFrame:
-    return churn.co_changes(churn.histories(_frames(spark, sf_dir, "changes")[0], config), config)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn.co_changes(churn.histories(_frames(spark, sf_dir, "changes")[0], LOOSE), LOOSE)
 
 
 @_query("co_changes", _with("changes", _PAIRS_SQL + "SELECT * FROM pairs"))
@@ -175,20 +173,6 @@ def coupling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.coupling_findings(pairs, LOOSE).select("id", "file", "symbol", "value", "severity")
 
 
-_WHOLE_PAIRS_SQL = _PAIRS_SQL.replace("BETWEEN 2 AND 6", "BETWEEN 2 AND 20")
-
-
-@_query("co_changes_whole", _with("changes", _WHOLE_PAIRS_SQL + "SELECT * FROM pairs"))
-def co_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_pairs(spark, sf_dir, WHOLE), "degree")
-
-
-@_query("coupling_findings_whole", SQL["coupling_findings"].replace("BETWEEN 2 AND 6", "BETWEEN 2 AND 20"))
-def coupling_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _round(_pairs(spark, sf_dir, WHOLE), "degree").withColumn("linked", F.lit(False))
-    return churn.coupling_findings(pairs, WHOLE).select("id", "file", "symbol", "value", "severity")
-
-
 _NAMED_PAIRS = "SELECT DISTINCT concat('src/s', a.s_suppkey, '.ts') AS file_a, concat('src/s', b.s_suppkey, '.ts') AS file_b FROM supplier a JOIN supplier b ON b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 4"
 
 
@@ -203,9 +187,9 @@ def current_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.current_paths(_frames(spark, sf_dir, "log")[0]).select("commit_pos", "path", "file")
 
 
-@_query("git_log", "SELECT o.o_orderkey AS log_id, CAST(0 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CAST(CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS bigint) AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o WHERE o.o_orderkey % 3 = 0")
+@_query("git_log", "SELECT o.o_orderkey AS log_id, CAST(0 AS bigint) AS commit_pos, concat('h', o.o_orderkey) AS hash, concat('d', o.o_custkey) AS date, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('new', o.o_orderkey) ELSE concat('p\tq', o.o_custkey) END AS path, CASE WHEN o.o_orderkey % 5 = 0 THEN concat('old', o.o_orderkey) END AS previous_path, CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE o.o_custkey END AS added_lines, CAST(CASE WHEN o.o_orderkey % 7 = 0 THEN 0 ELSE 3 END AS bigint) AS deleted_lines, o.o_orderkey % 7 = 0 AS binary FROM orders o")
 def git_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     counts = F.when(key % 7 == 0, F.lit("-\t-")).otherwise(F.concat_ws("\t", who.cast("string"), F.lit("3")))
     path = F.when(key % 5 == 0, F.concat(F.lit("\t\0old"), key, F.lit("\0new"), key)).otherwise(F.concat(F.lit("\tp\tq"), who))
@@ -290,13 +274,33 @@ def silencing_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slop.silencing_comments(spark.sql(_SILENT.replace("chr(10)", "char(10)"))).select("rule", "file", F.col("line").cast("long").alias("line"), "message")
 
 
-_WINDOWS_SQL = "+t AS (SELECT file, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS lines FROM sources), w AS (SELECT file, i - 1 AS pos, array_to_string(lines[i:i + 2], chr(10)) AS body FROM t, unnest(generate_series(1, len(lines) - 2)) AS u(i)), g AS (SELECT body, count(*) AS copies, min({'file': file, 'pos': pos}) AS first FROM w GROUP BY body HAVING count(*) > 1), p AS (SELECT first.file AS first_file, first.pos AS first_at, file, pos, pos - first.pos AS d FROM w JOIN g USING (body) WHERE file <> first.file OR pos <> first.pos), r AS (SELECT *, pos - row_number() OVER (PARTITION BY first_file, file, d ORDER BY pos) AS island FROM p) "
+#: Windows of three lines and runs of twenty tokens, so that invented prose has clones.
+_CLONE_SIZE, _CLONE_TOKENS = 3, 20
+_CLONES_SQL = """
++l AS (SELECT file, i AS line, regexp_replace(string_split(text, chr(10))[i], '^\\s+|\\s+$', '', 'g') AS s
+       FROM sources, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)),
+k AS (SELECT file, line, s, row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS pos,
+             len(regexp_extract_all(s, '[A-Za-z0-9_$]+|[^\\sA-Za-z0-9_$]')) AS n FROM l WHERE s <> ''),
+t AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY line) AS upto FROM k),
+w AS (SELECT file, pos, line, upto - n AS before, last_value(line) OVER x AS end_line, last_value(upto) OVER x AS after,
+             count(*) OVER x AS c, string_agg(s, chr(10)) OVER x AS body FROM t
+      WINDOW x AS (PARTITION BY file ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+g AS (SELECT body, min({'file': file, 'pos': pos}) AS first FROM w WHERE c = 3 GROUP BY body HAVING count(*) > 1),
+p AS (SELECT a.file AS first_file, a.line AS first_line, a.end_line AS first_end_line, a.pos AS first_pos, w.*,
+             w.pos - a.pos AS d
+      FROM w JOIN g USING (body) JOIN w a ON a.file = g.first.file AND a.pos = g.first.pos
+      WHERE w.c = 3 AND (w.file <> a.file OR w.pos <> a.pos)),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY first_file, file, d ORDER BY pos) AS island FROM p)
+SELECT first_file, min(first_line) AS first_start, max(first_end_line) AS first_end, file, min(line) AS start,
+       max(end_line) AS "end", max(end_line) - min(line) + 1 AS lines, CAST(max(after) - min(before) AS bigint) AS tokens
+FROM r GROUP BY first_file, file, d, island HAVING max(after) - min(before) >= 20
+"""
 
 
-@_query("clones", _with("sources", _WINDOWS_SQL + "SELECT first_file, min(first_at) + 1 AS first_start, file, min(pos) + 1 AS start, count(*) + 2 AS lines FROM r GROUP BY first_file, file, d, island"))
+@_query("clones", _with("sources", _CLONES_SQL))
 def clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = duplication.clones(duplication.windows(_frames(spark, sf_dir, "sources")[0], 3), 3)
-    return found.withColumns({c: F.col(c).cast("long") for c in ("first_start", "start", "lines")})
+    found = duplication.clones(duplication.windows(_frames(spark, sf_dir, "sources")[0], _CLONE_SIZE), _CLONE_TOKENS)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("first_start", "first_end", "start", "end", "lines", "tokens")})
 
 
 _CLONES = "SELECT named_struct('file', concat('doc', doc_id), 'start', CAST(doc_id % 9 + 1 AS int), 'end', CAST(doc_id % 9 + 6 AS int)) AS first, named_struct('file', concat('doc', doc_id + 1), 'start', CAST(doc_id % 5 + 1 AS int), 'end', CAST(doc_id % 5 + 6 AS int)) AS second, 6 AS lines FROM documents"
@@ -433,10 +437,10 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(edges, nodes, nodes.where("file like '%7.ts'"))
 
 
-@_query("runtime_cycles", _with("nodes edges", "+f AS (SELECT * FROM edges WHERE NOT regexp_matches(src, '[05]\\.ts$')), e AS (SELECT src, dst FROM f WHERE dst IN (SELECT file FROM nodes)), reach AS (WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a, b FROM r) SELECT a AS file, least(a, min(b)) AS component FROM (SELECT r.a, r.b FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a) GROUP BY a"))
+@_query("runtime_cycles", _with("nodes edges", "+f AS (SELECT * FROM edges WHERE NOT regexp_matches(src, 's([1-5]8|[79]9)\\.ts$')), e AS (SELECT src, dst FROM f WHERE dst IN (SELECT file FROM nodes)), reach AS (WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a, b FROM r) SELECT a AS file, least(a, min(b)) AS component FROM (SELECT r.a, r.b FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a) GROUP BY a"))
 def runtime_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _frames(spark, sf_dir, "nodes", "edges")
-    refs = edges.select("src", "dst", (~F.col("src").rlike("5\\.ts$")).alias("survives_emit"), F.when(F.col("src").rlike("0\\.ts$"), "dynamic").otherwise("import").alias("kind"))
+    refs = edges.select("src", "dst", (~F.col("src").rlike("s[1-5]8\\.ts$")).alias("survives_emit"), F.when(F.col("src").rlike("s[79]9\\.ts$"), "dynamic").otherwise("import").alias("kind"))
     found = graph.cycles(graph.runtime_edges(refs, nodes), nodes)
     return found.select(F.explode("files").alias("file"), "component")
 

@@ -64,6 +64,14 @@ def _governed(spark: SparkSession, root: str, listing: DataFrame) -> tuple[list[
     return [manifests.read(root, d) for d in dirs], dirs
 
 
+def _with_flags(spark: SparkSession, files: DataFrame, governing: list[manifests.Manifest]) -> DataFrame:
+    """Files with the settings that decide which imports are left when types are taken away, by their manifest."""
+    if not any(m.verbatim or m.decorators for m in governing):
+        return files
+    rows = manifests.as_rows(spark, governing).select("dir", "verbatim", "decorators")
+    return files.join(imports.governing(files.select("file"), rows), "file", "left").join(F.broadcast(rows), "dir", "left").drop("dir")  # a project's manifests
+
+
 def _undeclared(spark: SparkSession, root: str, refs: DataFrame, governing: list[manifests.Manifest], installed: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Undeclared packages; one that seems unknown is first looked for by all that its specifier may lead to."""
     rows = manifests.as_rows(spark, governing)
@@ -104,7 +112,7 @@ def scan(spark: SparkSession, root: str, config: Config, git: bool = True, tools
     dirs_out, files_out = (spark.createDataFrame([(x,) for x in names], f"{c} string") for c, names in (("dir", ignored.directories), ("file", ignored.files)))
     scoped = files.in_scope(texts, config, dirs_out, files_out)
     governing, dirs = _governed(spark, root, listing)
-    parsed = Parsed(scoped)
+    parsed = Parsed(_with_flags(spark, scoped, governing))
     refs = parsed.imports()
     outside = files.in_scope(texts, Config(include=config.include, exclude=tuple(g for g in config.exclude if not files.TEST_GLOB.search(g))), dirs_out, files_out)
     test_refs = Parsed(outside.join(scoped.select("file"), "file", "left_anti")).imports()
@@ -142,14 +150,13 @@ def scan(spark: SparkSession, root: str, config: Config, git: bool = True, tools
         _history(spark, report, config, revisions, edges, nodes, found, measured)
     clone_lines, dead = None, None
     if tools:
-        windows = duplication.windows(scoped.join(kept, "file", "left_semi"), duplication.LEAST_LINES)
+        windows = written(duplication.windows(scoped.join(kept, "file", "left_semi")))
         clones = written(duplication.clones(windows))
-        sides = clones.select(F.struct(F.col("file"), F.col("start").cast("int").alias("start"), (F.col("start") + F.col("lines") - 1).cast("int").alias("end")).alias("first"), F.struct(F.col("first_file").alias("file"), F.col("first_start").cast("int").alias("start"), (F.col("first_start") + F.col("lines") - 1).cast("int").alias("end")).alias("second"), F.col("lines").cast("int").alias("lines"))
+        sides = duplication.sides(clones)
         found.append(duplication.clone_findings(sides))
         clone_lines = written(duplication.covered_lines(sides))
-        copied = clones.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n"))
-        measured["duplication__lines"] = copied
-        measured["duplication__percent"] = copied.crossJoin(lines.agg(F.count("*").alias("total"))).select(F.coalesce(F.least(F.try_divide(F.col("n") * 100.0, F.col("total")), F.lit(100.0)), F.lit(0.0)).alias("percent"))  # one row each
+        copied = written(duplication.copied_lines(clones, lines))
+        measured["duplication__lines"], measured["duplication__percent"] = copied.select("lines"), copied.select("percent")
         report.tools["jscpd"] = __version__
         every = files.in_scope(texts, Config(include=SOURCES, exclude=OUTPUT), dirs_out, files_out)
         uses = refs.select("file", "specifier").union(Parsed(every.join(scoped.select("file"), "file", "left_anti")).imports().select("file", "specifier"))
@@ -208,9 +215,9 @@ def _dead_code(spark: SparkSession, root: str, parsed: Parsed, resolved: DataFra
     live = parsed.exports().join(kept, "file", "left_semi").join(unused, "file", "left_anti").join(entries, "file", "left_anti")
     exports = deadcode.unused_exports(live.select("file", "name"), asked)
     origins = deadcode.export_origins(exports, parsed.identifiers(), parsed.reexports())
-    lines = live.groupBy("file", "name").agg(F.min("line").cast("int").alias("line"))
+    lines = live.groupBy("file", "name").agg(F.min("line").cast("int").alias("line"), F.bool_and("is_type").alias("is_type"))
     rows = unused.select("file", F.lit("unused-file").alias("rule"), F.lit("major").alias("severity"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"))
-    rows = rows.unionByName(exports.join(lines, ["file", "name"]).select("file", F.lit("unused-export").alias("rule"), F.lit("major").alias("severity"), "name", "line"))
+    rows = rows.unionByName(exports.join(lines, ["file", "name"]).select("file", F.when(F.col("is_type"), "unused-type").otherwise("unused-export").alias("rule"), F.lit("major").alias("severity"), "name", "line"))
     spare, denied = _unused_packages(spark, root, dirs, uses)
     rows = rows.unionByName(deadcode.in_scope(spare, kept).select(*rows.columns))
     found = written(deadcode.report_findings(deadcode.classify_exports(rows, origins), config, denied))
@@ -245,17 +252,23 @@ def _alternatives(pattern: str) -> list[str]:
 
 
 def scan_file(spark: SparkSession, root: str, file: str, config: Config) -> DataFrame:
-    """Findings of one file: measures, rules and undeclared packages, without graph and history."""
+    """Findings of one file: measures, rules, undeclared packages and imports that lead nowhere, without graph and history."""
     text = (Path(root) / file).read_text(encoding="utf-8")
     one = spark.createDataFrame([(file, text)], "file string, text string")
-    parsed = Parsed(one)
     parts = [posixpath.dirname(file)]
     while parts[-1]:
         parts.append(posixpath.dirname(parts[-1]))
     dirs = [d for d in parts if manifests.is_project(Path(root) / d / "package.json")] or [""]
+    governing = [manifests.read(root, d) for d in dirs]
+    parsed = Parsed(_with_flags(spark, one, governing))
     package = specifiers.package_of(F.col("specifier"))
     packages = {p for r in parsed.imports().select(package.alias("package"), specifiers.types_package_of(package).alias("types")).collect() for p in r}
     there = [(d, p) for d in parts for p in packages if p and (Path(root) / d / "node_modules" / p).exists()]
-    undeclared = _undeclared(spark, root, parsed.imports(), [manifests.read(root, d) for d in dirs], spark.createDataFrame(there, "dir string, package string"))
-    found = findings.union_all(metrics.threshold_findings(parsed.file_metrics(), parsed.functions(), config), slop.slop_findings(parsed.hits(config)), imports.undeclared_findings(undeclared))
+    undeclared = _undeclared(spark, root, parsed.imports(), governing, spark.createDataFrame(there, "dir string, package string"))
+    refs = parsed.imports()
+    near = refs.select(F.explode(specifiers.on_disk_candidates(specifiers.resolve_relative(F.col("file"), F.col("specifier")))).alias("file")).distinct()
+    # As many places as the file's imports may mean.
+    there = [(r.file,) for r in near.where("file is not null").collect() if (Path(root) / r.file).exists()]
+    unresolved = imports.unresolved(refs.withColumn("target", F.lit(None).cast("string")), spark.createDataFrame(there, "file string"))
+    found = findings.union_all(metrics.threshold_findings(parsed.file_metrics(), parsed.functions(), config), slop.slop_findings(parsed.hits(config)), imports.undeclared_findings(undeclared), imports.unresolved_findings(unresolved))
     return found.orderBy(*findings.ordering())

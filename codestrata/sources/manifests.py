@@ -233,7 +233,18 @@ def declared_entries(root: str | Path, files: list[str]) -> tuple[list[str], int
             folders.add("/".join(parts[:at]))
     tests = {x for path in sorted({t for s in scripts for t in tokens(s) if t.endswith(".json") and is_inside(t) and (root / t).exists()}) for x in _test_entries(root, path, files)}
     added = sorted(named | {f"{d}/**/*.{endings}" for d in folders} | tests)
-    return [f"{{index,cli,main}}.{endings}", f"src/{{index,cli,main}}.{endings}", *added], len(added), None
+    return [f"{{index,cli,main}}.{endings}", f"src/{{index,cli,main}}.{endings}", *package_entries(root, package), *added], len(added), None
+
+
+def package_entries(root: Path, package: dict) -> list[str]:
+    """Sources that a package file names as what it offers: main, module, binaries, and exports at any depth."""
+
+    def paths(value: Any) -> list[str]:
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        return [value] if isinstance(value, str) else [p for v in inner for p in paths(v)]
+
+    stated = (posixpath.normpath(p) for k in ("main", "module", "bin", "exports") for p in paths(package.get(k)))
+    return sorted({p for p in stated if p.rsplit(".", 1)[-1] in EXTENSIONS and is_inside(p) and "*" not in p and (root / p).is_file()})
 
 
 def _test_entries(root: Path, path: str, files: list[str]) -> list[str]:

@@ -228,8 +228,22 @@ def test_verbosity(spark):
 def test_clones_of_many_copies_are_linear(spark):
     text = "\n".join(f"line {k}" for k in range(8))
     rows = spark.createDataFrame([(f"f{k:02}", f"own {k}\n{text}\nend {k}") for k in range(30)], "file string, text string")
-    got = duplication.clones(duplication.windows(rows, 5), 5).collect()
-    assert len(got) == 29 and {(r.first_file, r.first_start, r.start, r.lines) for r in got} == {("f00", 2, 2, 8)}
+    got = duplication.clones(duplication.windows(rows), 16).collect()
+    assert len(got) == 29 and {(r.first_file, r.first_start, r.start, r.lines, r.tokens) for r in got} == {("f00", 2, 2, 8, 16)}
+    assert duplication.clones(duplication.windows(rows), 17).count() == 0  # too few tokens
+
+
+def test_clones_have_the_lines_of_their_files(spark):
+    code = "\n".join(f"  call{k}(a, b, c, d, e, f);" for k in range(5))
+    rows = spark.createDataFrame([("a", "\n" * 5 + code), ("b", "x\n\n\t\n" + code.replace("\n", "\n \n") + "\ny"), ("c", None), ("d", "")], "file string, text string")
+    found = duplication.clones(duplication.windows(rows))
+    assert [tuple(r) for r in found.collect()] == [("a", 6, 10, "b", 4, 12, 9, 75)]
+    side = duplication.sides(found).first()
+    assert (side.first.file, side.first.start, side.first.end, side.second.start, side.lines) == ("b", 4, 12, 6, 9)
+    lines = metrics.sloc_lines(rows.where("text is not null"))
+    copied = duplication.copied_lines(found, lines).first()
+    assert copied.lines == 5 and copied.percent == 100 * 5 / 12
+    assert duplication.copied_lines(found.limit(0), lines.limit(0)).first().percent == 0
 
 
 def test_clones_in_scope(spark):
