@@ -21,6 +21,8 @@ from codestrata.llm import common
 
 FINDINGS = "blob string, kind string, version int, start int, end int"
 SEEN = "blob string, kind string, version int"
+#: Findings (some 150 bytes each) that are broadcast to the texts, at most; with more of them both sides are shuffled.
+BROADCAST_FINDINGS = 500_000
 
 
 @dataclass(frozen=True)
@@ -131,8 +133,12 @@ class Ledger:
     def redact(self, history: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
         """All of history's columns, with the spans of the findings replaced by the mark; overlapping ones by one mark.
 
-        Repeated rows are redacted alike; null texts stay null. Columns may have any names, each but once.
+        Repeated rows are redacted alike; null texts stay null. Columns may have any names, each but once. Texts are not
+        moved while the ledger's findings are few enough to be broadcast.
         """
+        spark = history.sparkSession
+        few = self._table(spark, "findings", FINDINGS).count() <= BROADCAST_FINDINGS
+        found = self.by_blob(spark).hint("broadcast" if few else "merge")
         names = history.columns
         inner = history.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text_col}`").alias("text"))
         # A span that begins after all former ones end starts a new gap.
@@ -144,7 +150,7 @@ class Ledger:
         ends = F.concat(F.array(F.lit(0)), F.transform("merged", lambda s: s["end"]))
         starts = F.concat(F.transform("merged", lambda s: s["start"]), F.array(F.char_length("text")))
         kept = F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(F.col("text"), e + 1, s - e)), mark)
-        joined = inner.withColumn("blob", blob_of(F.col("text"))).join(self.by_blob(history.sparkSession), "blob", "left").withColumn("merged", merged)
+        joined = inner.withColumn("blob", blob_of(F.col("text"))).join(found, "blob", "left").withColumn("merged", merged)
         redacted = F.when(F.col("merged").isNull(), F.col("text")).otherwise(kept)
         return joined.select(*((redacted if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)))
 

@@ -119,7 +119,9 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
     assert sum(len(r.spans) for r in ledger.report(second, "path").collect()) == 3
 
 
-def test_redaction_takes_out_all_spans(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_redaction_takes_out_all_spans(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_FINDINGS", most)
     texts = secret_texts()
     rows = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "doc_id long, text string")
     ledger = secrets.Ledger(str(tmp_path / "ledger"))
